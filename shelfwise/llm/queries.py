@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import fingerprints, jaccard_join, language_id, mixing, packing, quality, secrets, sharding, suffix_dedup, token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +22,65 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_docs(spark, sf_dir), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_docs(spark, sf_dir), 16)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.length("text").cast("long").alias("n_characters"))
+    return token_counts.with_token_counts(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality.judged(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs, 200).drop("kept")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_docs(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = secrets.joined_spans("secret_spans", ("assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined_spans("secret_spans", secrets.KINDS).alias("spans"))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_docs(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = language_id.fit(docs, ~language_id.held_out())
+    base = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identified(base, model)
+
+
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(mixing.document_sizes(_docs(spark, sf_dir)))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_sharding,
+        op3_token_counts,
+        op4_best_fit_packing,
+        op5_quality_rules,
+        op6_suffix_dedup,
+        op7_secret_scans,
+        op8_document_fingerprints,
+        op9_language_id,
+        op10_mixing_sources,
+    )
+}
 ORACLES: dict[str, str] = {}

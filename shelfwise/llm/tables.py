@@ -66,8 +66,8 @@ def ranges_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_row_numbers(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """Add the gapless global row number (long, from 0) in the given order; stashed.
+def with_row_numbers(df: DataFrame, name: str, order: list[Column]) -> tuple[DataFrame, int]:
+    """(df with the gapless global row number, number of rows). Column `name` is long, from 0, in the given order; stashed.
 
     Rows are range-partitioned and sorted; each partition's start is a sum over the row
     counts of the partitions before it, so no task sees more than its range. The ranges
@@ -90,7 +90,7 @@ def with_row_numbers(df: DataFrame, name: str, order: list[Column]) -> DataFrame
         total += n
     starts_df = spark.createDataFrame(starts, T.StructType([T.StructField(part, T.LongType()), T.StructField(start, T.LongType())]))
     within = F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(starts_df), part).withColumn(name, F.col(start) + within).drop(mark, part, start)
+    return ranged.join(F.broadcast(starts_df), part).withColumn(name, F.col(start) + within).drop(mark, part, start), total
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
