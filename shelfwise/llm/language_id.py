@@ -197,6 +197,23 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", nam
     return base.mapInArrow(_predict(shared, [*carry, *names], carry), ", ".join([*fields, f"`{lang}` string, `{score}` double, `{out}` boolean"]))
 
 
+def rejection(model: Model | None, spark=None):
+    """A column function of a text column: whether the model rejects the text."""
+    from pyspark.sql import SparkSession
+
+    shared = (spark or SparkSession.active()).sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def rejected(texts: pa.Array) -> pa.Array:
+        m, out = shared.value, []
+        for _, _, part, own in _sliced(texts):
+            no = ~has_letter(part, own)
+            out.append(no | (m.predict(gram_counts(part, own))[2] if m else True))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return rejected
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
