@@ -23,6 +23,7 @@ from .tables import stash
 CAPACITY = 1024
 END_ID = 2
 PART_ROWS = 1 << 15
+FINAL_ROWS = 1 << 18  # at most so many released pieces meet in one partition
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool, names: list[str]):
@@ -123,21 +124,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
     """
     shape = "pid long, length long, sequence_id long, offset long, certified boolean"
     left, n, done, round_no = items.select("pid", "length"), items.count(), [], 0
+    parts, stuck = max(1, -(-n // part_rows)), False
     while True:
-        parts = max(1, -(-n // part_rows))
         dealt = left.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(round_no)), F.lit(parts)))
-        # one partition alone, or rounds that release nearly all they get: this one is final
-        last = parts == 1 or round_no >= 12
+        last = parts == 1 or stuck
         out = stash(dealt.groupBy("part").applyInArrow(_pack(capacity, round_no, last), shape))
         done.append(out.where("sequence_id is not null"))
         if last:
             break
         left = out.where("sequence_id is null").select("pid", "length")
-        before, n, round_no = n, left.count(), round_no + 1
+        n, round_no = left.count(), round_no + 1
         if not n:
             break
-        if n > 0.9 * before:
-            round_no = 12
+        fewer = max(1, -(-n // FINAL_ROWS), min(-(-n // part_rows), parts // 4))
+        parts, stuck = min(parts, fewer), fewer >= parts
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

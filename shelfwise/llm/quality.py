@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import others, stash
 from .words import SPACE, Prefix, distinct_sets, mix, shingle_hashes, slices, utf8, word_hashes, word_spans
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines", "n_bytes")
@@ -106,11 +107,11 @@ def _stats_of(names: list[str], carry: list[str]):
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: all but the text) and the statistics STATS, for every row.
+    """The columns `carry` (default: all but the text and namesakes) and the statistics STATS, for every row.
 
     Null and empty texts, and texts of white space, have 0 in every count.
     """
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    carry = others(docs, text_col, *STATS) if carry is None else carry
     base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
     return base.mapInArrow(_stats_of([*carry, *STATS], carry), ", ".join([*fields, *(f"{s} long" for s in STATS)]))
@@ -211,8 +212,6 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without usable labels no rule is learned and only the base test decides. Rows with null
     ids are judged, but never learned from; repeated rows are judged alike.
     """
-    from .tables import stash
-
     stats = stash(with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     x, bad, fold = labelled_sample(stats, labels, most, label)
     rules = learn(x, bad, fold) if len(bad) else []

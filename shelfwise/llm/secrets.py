@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import others
 from .words import utf8
 
 WINDOW = 20
@@ -144,12 +145,12 @@ def blanked(text: str, spans: list[tuple[int, int, str, int]], by: str) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, redact: str | None = None, spans_col: str = "secret_spans", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: all but the text) and `spans_col`, for every row.
+    """The columns `carry` (default: all but the text and a namesake) and `spans_col`, for every row.
 
     Spans have code point positions, end exclusive. With `redact`, the text comes along with
     every secret value replaced. Null and empty texts have no spans (a null stays null).
     """
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    carry = others(docs, text_col, spans_col) if carry is None else carry
     base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text")
     shape = ", ".join(x for x in (fields, f"`{text_col}` string" if redact is not None else "", f"`{spans_col}` array<struct<start:long,end:long,kind:string,value_start:long>>") if x)

@@ -4,7 +4,8 @@ Aho-Corasick reports all vocabulary pieces that end at each character; a dynamic
 carries the best score and the number of pieces up to there. Ties follow the tokenizer: of
 equal scores the candidate that starts first stays; a character that no piece of its own
 covers is an unknown with the least score minus 10, and falls back to its UTF-8 bytes. A
-space starts a new unit and becomes U+2581; the text has one in front. Units are
+space starts a new unit and becomes U+2581; the text has one in front, unless it starts
+with one. Units are
 independent, and each distinct one is solved once by a worker.
 """
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import others
+
 MAX_KNOWN = 400_000
 MARK = "▁"
 
@@ -77,6 +80,7 @@ class Counter:
         """Tokens of a whole text; the empty text has none."""
         if not s:
             return 0
+        s = s.replace(MARK, " ")
         known, total = self.known, 0
         if len(known) > MAX_KNOWN:
             known.clear()
@@ -86,7 +90,8 @@ class Counter:
         for k, line in enumerate(lines):
             head, *rest = line.split(" ")
             if k == 0:
-                rest.insert(0, head)
+                if s[0] != " ":
+                    rest.insert(0, head)
             elif head:
                 key = "\n" + head
                 n = known.get(key)
@@ -118,12 +123,12 @@ def _count(path: str, names: list[str], carry: list[str]):
 
 
 def with_token_counts(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "n_tokens", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: all but the text) and the token count of the whole text.
+    """The columns `carry` (default: all but the text and a namesake) and the token count of the whole text.
 
     Null and empty texts have 0 tokens. The vocabulary file must be readable at the same
     path on every machine, as a part of the installed environment.
     """
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    carry = others(docs, text_col, name) if carry is None else carry
     base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
     return base.mapInArrow(_count(model_path, [*carry, name], carry), ", ".join([*fields, f"`{name}` long"]))
