@@ -220,7 +220,7 @@ def test_repacking_partitions(spark):
         load[r["sequence_id"]] += r["length"]
     assert len(rows) == 900 and max(load.values()) <= 1024
     alone = packing.best_fit_decreasing(np.array(sorted((r["length"] for r in rows), reverse=True)), 1024)[2]
-    assert len(load) <= len(alone) + 1
+    assert len(load) <= len(alone) + 10  # a bin for each certified partition
 
 
 def test_bound_never_exceeds_the_best_packing():
