@@ -83,4 +83,17 @@ QUERIES = {
         op10_mixing_sources,
     )
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, unnest(case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n, list(g order by g) as gs from s group by 1),
+cls as (select doc_id, min(doc_id) over (partition by gs) as class_id from n),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select a as u, b as v from l union select r.u, l.b from r join l on r.v = l.a),
+m as (select u, min(v) as v from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.v, d.doc_id)) as component_id, coalesce(cls.class_id, d.doc_id) as class_id
+from documents d left join n using (doc_id) left join cls using (doc_id) left join m on m.u = d.doc_id""",
+}
