@@ -1,16 +1,20 @@
 """N-gram Jaccard join by a blocked sparse product of documents and word shingles.
 
-Documents with the same shingle set are one class. The incidence matrix of classes and
-shingles is multiplied with its transpose column by column: a class enters only the
-columns of its prefix, the rarest shingles, of which any partner at the wanted similarity
-must share one. Overlaps of a column are bounded by sizes and positions, and pairs that
-cannot reach the size-derived minimum are dropped before their sets are compared.
+Documents with the same shingle set are one class. A class enters only the columns of its
+prefix, the rarest shingles: of them a partner at the wanted similarity must share `need`,
+a twentieth of the set or `SHARED`. Columns met by one class, and classes with too few columns
+left, drop out in turn. Pairs are counted over the columns of up to `SMALL` classes; a pair
+that reaches its need with these and what longer columns could add, and classes that could
+reach it by longer columns alone, make groups. A group's incidence matrix is multiplied with
+its transpose in blocks of `BLOCK` classes, column by column, accumulating overlap counts
+and the last shared position. Pairs below the size-derived bounds are discarded, the others
+compared by their whole sets, most overlaps first, and passed over once known to be
+connected.
 
 Any one order of shingles gives an exact prefix filter; ours takes rare ones first by a
-fixed-size table of counts (`BUCKETS`), so that no common passage fills a column. A column
-expected to be hot is cut into blocks, and block pairs are dealt to different tasks.
-Memory of a task: one slice of text or one block pair; broadcast: the table of counts and
-one bitmap, both of fixed size.
+fixed-size table of counts (`BUCKETS`), so that common passages come last. Memory of a task:
+a slice of text or a pair of blocks; broadcast: the table of counts and a bitmap, both of
+fixed size.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from .words import text_shingles
 
 BUCKETS = 1 << 20
 BITS = 1 << 24
-BLOCK = 4096
-NEAR = 8  # neighbours by size that the first round compares in each column
+BLOCK = 1536
+HOT = 1 << 14  # classes in a column beyond which its rows are salted
+SHARED = 4
+SMALL = 32  # classes in a column whose pairs are counted one by one
 _FREQ_SHIFT = 48
 
 
@@ -37,6 +43,11 @@ def _need(x, y, percent):
     return (percent * (x + y) + 99 + percent) // (100 + percent)
 
 
+def _meet(n, percent):
+    """Prefix columns that a set of n shares with any partner, or a pair by its smaller set."""
+    return np.minimum(np.maximum(SHARED, n // 20), (percent * n + 99) // 100)
+
+
 def _describe(k: int, lower: bool):
     """Per row: position-preserving set size and fingerprint; besides, local shingle counts."""
 
@@ -76,7 +87,7 @@ def _prints(column, k: int, lower: bool):
 
 
 def _prefixes(k: int, lower: bool, percent: int, counts):
-    """Rows (col, cell, k1, n, pos): the prefix columns of each class met in this task."""
+    """Rows (col, salt, k1, n, pos): the prefix columns of each class met in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
@@ -85,7 +96,7 @@ def _prefixes(k: int, lower: bool, percent: int, counts):
                 freq = table[(sets >> np.uint64(24)) % np.uint64(BUCKETS)]
                 key = (freq.astype(np.uint64) << np.uint64(_FREQ_SHIFT)) | (sets >> np.uint64(64 - _FREQ_SHIFT))
                 n = np.diff(at)
-                take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                take = np.where(n > 0, n - (percent * n + 99) // 100 + _meet(n, percent), 0)
                 for d, name in enumerate(k1.tolist()):
                     if name in seen:
                         take[d] = 0
@@ -95,14 +106,9 @@ def _prefixes(k: int, lower: bool, percent: int, counts):
                 doc = np.repeat(np.arange(len(n)), take)
                 pos = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
                 col = key[at[doc] + pos]
-                blocks = np.maximum(1, (_count_of(col >> np.uint64(_FREQ_SHIFT)) + BLOCK - 1) // BLOCK)
-                own = (k1[doc].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-                copy = np.repeat(np.arange(len(doc)), blocks)
-                other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = own[copy]
-                cell = np.minimum(mine, other) * 65536 + np.maximum(mine, other)
-                d = doc[copy]
-                yield pa.record_batch([pa.array(col[copy].view(np.int64)), pa.array(cell), pa.array(k1[d]), pa.array(n[d].astype(np.int32)), pa.array(pos[copy].astype(np.int32)), pa.array(mine.astype(np.int32))], names=["col", "cell", "k1", "n", "pos", "block"])
+                salts = np.maximum(1, (_count_of(col >> np.uint64(_FREQ_SHIFT)) + HOT - 1) // HOT)
+                salt = (k1[doc].view(np.uint64) % salts.astype(np.uint64)).astype(np.int32) + np.where(salts > 1, 1, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(col.view(np.int64)), pa.array(salt), pa.array(k1[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["col", "salt", "k1", "n", "pos"])
 
     return run
 
@@ -116,93 +122,69 @@ def _count_of(level: np.ndarray) -> np.ndarray:
     return np.floor(2.0 ** (level.astype(np.float64) / 16)).astype(np.int64) - 1
 
 
-def _fits(x, i, y, j, percent):
-    """Size and position bounds of a pair that meets at prefix positions i and j."""
-    most = np.minimum(i, j) + 1 + np.minimum(x - i - 1, y - j - 1)
-    return (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (most >= _need(x, y, percent))
-
-
-def _columns(names: tuple[str, ...]):
-    """Read rows sorted by (col, cell): yield arrays of whole groups, a batch at a time."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (col, salt, k1), those of columns with two classes, each class once."""
+    names = ["col", "salt", "k1", "n", "pos"]
+    rest = None
+
+    def chosen(x):
+        col, salt, k1 = x[0], x[1], x[2]
+        new = np.concatenate([[True], (col[1:] != col[:-1]) | (salt[1:] != salt[:-1])])
+        first = new | np.concatenate([[True], k1[1:] != k1[:-1]])
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, first)[group] > 1
+        keep = first & (many | (salt > 0))  # a salted column is a hot one
+        return pa.record_batch([pa.array(x[i][keep]) for i in (0, 2, 3, 4)], names=["col", "k1", "n", "pos"])
+
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if rest is not None:
+            now = [np.concatenate([a, b]) for a, b in zip(rest, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = len(now[0]) - 1
+        while cut and now[0][cut] == now[0][cut - 1] and now[1][cut] == now[1][cut - 1]:
+            cut -= 1
+        if cut:
+            yield chosen([x[:cut] for x in now])
+        rest = [x[cut:] for x in now]
+    if rest is not None and len(rest[0]):
+        yield chosen(rest)
+
+
+def _small_pairs(percent: int):
+    """(a, b, need, spare) for pairs in columns of rows sorted by (col, n, k1): columns both
+    must share, and how many longer columns they have in common at most."""
+
+    def pairs(x):
+        col, n, k1, pos, long = x
+        n = n.astype(np.int64)
+        out = [[], [], [], []]
+        for d in range(1, SMALL):
+            if len(col) <= d:
+                break
+            u, v = slice(None, -d), slice(d, None)
+            ok = (col[u] == col[v]) & (100 * n[u] >= percent * n[v])  # rows come by size
+            i, j = pos[u], pos[v]
+            ok &= np.minimum(i, j) + np.minimum(n[u] - i, n[v] - j) >= _need(n[u], n[v], percent)
+            if ok.any():
+                a, b = k1[u][ok], k1[v][ok]
+                for o, c in zip(out, (np.minimum(a, b), np.maximum(a, b), _meet(n[u][ok], percent), np.minimum(long[u][ok], long[v][ok])), strict=True):
+                    o.append(c.astype(np.int64))
+        if out[0]:
+            yield pa.record_batch([pa.array(np.concatenate(o)) for o in out], names=["a", "b", "need", "spare"])
 
-    def read(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("col", "n", "k1", "pos", "long")]
             if rest is not None:
                 now = [np.concatenate([a, b]) for a, b in zip(rest, now, strict=True)]
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
-            if not len(new):
-                rest = now
-                continue
-            cut = new[-1] + 1
-            yield [x[:cut] for x in now]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            yield from pairs([x[:cut] for x in now])
             rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield rest
-
-    return read
-
-
-_PAIR = ["a", "b", "col", "cell", "k1", "n", "pos", "block"]
-
-
-def _pairs_batch(a, b):
-    none = pa.nulls(len(a), pa.int64())
-    small = pa.nulls(len(a), pa.int32())
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    return pa.record_batch([pa.array(lo), pa.array(hi), none, none, none, small, small, small], names=_PAIR)
-
-
-def _first_round(percent: int):
-    """Pairs of near neighbours by size in each column; rows of longer columns go on."""
-
-    def run(batches):
-        for col, cell, k1, n, pos, block in _columns(("col", "cell", "k1", "n", "pos", "block"))(batches):
-            edge = np.concatenate([[True], (col[1:] != col[:-1]) | (cell[1:] != cell[:-1])])
-            group = np.cumsum(edge)
-            size = np.bincount(group)[group]
-            many = size > 1
-            col, cell, k1, n, pos, block, group, size = (x[many] for x in (col, cell, k1, n, pos, block, group, size))
-            off = (cell // 65536) != (cell % 65536)
-            for d in range(1, NEAR + 1):
-                if len(col) <= d:
-                    break
-                x, y = slice(None, -d), slice(d, None)
-                ok = (group[x] == group[y]) & (k1[x] != k1[y]) & ~(off[x] & (block[x] == block[y]))
-                ok &= _fits(n[x].astype(np.int64), pos[x], n[y].astype(np.int64), pos[y], percent)
-                if ok.any():
-                    yield _pairs_batch(k1[x][ok], k1[y][ok])
-            big = size > NEAR + 1
-            if big.any():
-                none = pa.nulls(int(big.sum()), pa.int64())
-                yield pa.record_batch([none, none, *(pa.array(v[big]) for v in (col, cell, k1, n.astype(np.int32), pos.astype(np.int32), block.astype(np.int32)))], names=_PAIR)
-
-    return run
-
-
-def _second_round(percent: int):
-    """All further pairs of the long columns whose classes are not yet connected."""
-
-    def run(batches):
-        for col, cell, k1, n, pos, block, part in _columns(("col", "cell", "k1", "n", "pos", "block", "part"))(batches):
-            n = n.astype(np.int64)
-            edge = np.flatnonzero(np.concatenate([[True], (col[1:] != col[:-1]) | (cell[1:] != cell[:-1])]))
-            for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(col)).tolist(), strict=True):
-                if hi - lo <= NEAR + 1 or (part[lo:hi] == part[lo]).all():
-                    continue
-                off = cell[lo] // 65536 != cell[lo] % 65536
-                for at in range(lo, hi, 256):
-                    end = min(at + 256, hi)
-                    far = lo + int(np.searchsorted(n[lo:hi], n[end - 1] * 100 // percent, "right"))
-                    x, y = np.arange(at, end)[:, None], np.arange(at, far)[None, :]
-                    ok = (y > x + NEAR) & (part[x] != part[y]) & (k1[x] != k1[y])
-                    if off:
-                        ok &= block[x] != block[y]
-                    ok &= _fits(n[x], pos[x], n[y], pos[y], percent)
-                    if ok.any():
-                        i, j = np.nonzero(ok)
-                        yield _pairs_batch(k1[at + i], k1[at + j])
+        if rest is not None:
+            yield from pairs(rest)
 
     return run
 
@@ -227,23 +209,91 @@ def _active_sets(k: int, lower: bool, bits):
     return run
 
 
-def _verify(percent: int):
-    def run(batches):
+def _products(percent: int, spanning: bool):
+    """Links (a, b) of the classes of each (component, cell)."""
+
+    def links(rows):
+        if len(rows) < 2:
+            return
+        k1 = [r[0] for r in rows]
+        n = np.array([r[1] for r in rows], np.int64)
+        block = np.array([r[2] for r in rows])
+        cols = [np.frombuffer(r[3], np.int64) for r in rows]
+        where = [np.frombuffer(r[4], np.int32) for r in rows]
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        doc = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+        col, pos = np.concatenate(cols), np.concatenate(where)
+        order = np.argsort(col, kind="stable")
+        col, doc, pos = col[order], doc[order], pos[order]
+        edge = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+        count = np.zeros((len(rows), len(rows)), np.int32)
+        last = np.zeros((len(rows), len(rows)), np.int32)
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(col)], strict=True):
+            if hi - lo > 1:  # columns come in their common order, so later positions win
+                d = doc[lo:hi]
+                at = np.ix_(d, d)
+                count[at] += 1
+                last[at] = pos[lo:hi][:, None]
+        found: list[np.ndarray] = []
+        split = block.min() != block.max()
+        for lo in range(0, len(rows), 256):
+            x, y = np.arange(lo, min(lo + 256, len(rows)))[:, None], np.arange(len(rows))[None, :]
+            least = np.minimum(n[x], n[y])
+            most = count[x, y] + np.minimum(n[x] - last[x, y], n[y] - last[y, x]) - 1
+            ok = (y > x) & (count[x, y] >= _meet(least, percent)) & (100 * least >= percent * np.maximum(n[x], n[y])) & (most >= _need(n[x], n[y], percent))
+            if split:
+                ok &= block[x] != block[y]
+            i, j = np.nonzero(ok)
+            found.append(np.stack([lo + i, j, count[lo + i, j]]))
+        i, j, c = np.concatenate(found, axis=1)
+        up = list(range(len(rows)))
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for at in np.argsort(-c, kind="stable").tolist():
+            a, b = int(i[at]), int(j[at])
+            ra, rb = root(a), root(b)
+            if spanning and ra == rb:
+                continue
+            x, y = (sets[a], sets[b]) if n[a] < n[b] else (sets[b], sets[a])
+            to = np.searchsorted(y, x)
+            if int((y[np.minimum(to, len(y) - 1)] == x).sum()) >= _need(n[a], n[b], percent):
+                up[max(ra, rb)] = min(ra, rb)
+                yield min(k1[a], k1[b]), max(k1[a], k1[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, out = None, [], []
         for batch in batches:
-            sa, sb = batch.column("sa"), batch.column("sb")
-            keep = []
-            for i in range(len(sa)):
-                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if both >= _need(len(x), len(y), percent):
-                    keep.append(i)
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep))
+            names = ("component", "cell", "k1", "n", "block", "cols", "places", "shingles")
+            for comp, cell, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (comp, cell) != group:
+                    out += links(rows)
+                    group, rows = (comp, cell), []
+                rows.append(row)
+            if out:
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                out = []
+        out = list(links(rows))
+        if out:
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, n, cols, places) with the two lists as bytes, columns ascending."""
+    for batch in batches:
+        cols, places = [], []
+        for row in batch.column("cells").to_pylist():
+            cols.append(np.array([c["col"] for c in row], np.int64).tobytes())
+            places.append(np.array([c["pos"] for c in row], np.int32).tobytes())
+        yield pa.record_batch([batch.column("k1"), batch.column("n"), pa.array(cols, pa.binary()), pa.array(places, pa.binary())], names=["k1", "n", "cols", "places"])
+
+
 def _bitmap(spark, keys: DataFrame):
     """Broadcast bitmap of BITS bits with the bit of every key set; built in Spark."""
     b = F.expr(f"pmod(k1, {BITS}) + 1")
@@ -259,7 +309,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(members, links): rows (doc_id, n, k1, k2) of all documents, and links (a, b).
 
     A link joins two different shingle sets (`k1`) with 100 * I >= percent * U. With
-    `spanning`, links between sets already known to be connected may be left out; without
+    `spanning`, links between sets already known to be connected are left out; without
     it every link is returned. Null text or text without words: n = 0, never linked.
     Repeated rows and null ids stay rows of their own.
     """
@@ -274,33 +324,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = spark.sparkContext.broadcast(_level_of(table).astype(np.uint16))
 
     parts = ranges_for(spark)
-    prefix = base.select("text").mapInArrow(_prefixes(k, lower, percent, counts), "col long, cell long, k1 long, n int, pos int, block int")
-    ordered = prefix.repartition(parts, "col", "cell").sortWithinPartitions("col", "cell", "n", "k1")
-    shape = "a long, b long, col long, cell long, k1 long, n int, pos int, block int"
-    first = stash(ordered.mapInArrow(_first_round(percent), shape))
-    pairs = stash(first.where("a is not null").select("a", "b").distinct())
-    big = first.where("a is null").drop("a", "b").distinct()
-
-    keys = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).union(big.select("k1"))
-    bits = _bitmap(spark, keys)
-    active = stash(base.select("text").mapInArrow(_active_sets(k, lower, bits), "k1 long, k2 long, n long, shingles binary").dropDuplicates(["k1", "k2"]))
-
-    def checked(p: DataFrame) -> DataFrame:
-        left = active.select(F.col("k1").alias("a"), F.col("shingles").alias("sa"))
-        right = active.select(F.col("k1").alias("b"), F.col("shingles").alias("sb"))
-        return stash(p.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"))
-
-    links = checked(pairs)
-    if big.limit(1).count():
-        if spanning:
-            known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            rows = big.join(known.withColumnRenamed("node", "k1"), "k1", "left").withColumn("part", F.coalesce("component", "k1")).drop("component")
-        else:
-            rows = big.withColumn("part", F.col("k1"))
-        rows = rows.repartition(parts, "col", "cell").sortWithinPartitions("col", "cell", "n", "k1")
-        more = rows.mapInArrow(_second_round(percent), shape).select("a", "b").distinct()
-        links = stash(links.unionByName(checked(more)).distinct())
-    release(pairs, first, active)
+    prefix = base.select("text").mapInArrow(_prefixes(k, lower, percent, counts), "col long, salt int, k1 long, n int, pos int")
+    rows = stash(prefix.repartition(parts, "col", "salt").sortWithinPartitions("col", "salt", "k1").mapInArrow(_shared, "col long, k1 long, n int, pos int"))
+    need = F.expr(f"least(greatest({SHARED}, n div 20), ({percent} * n + 99) div 100)")
+    for _ in range(2):  # classes need columns, columns need two classes
+        rich = rows.groupBy("k1", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("k1")
+        rows = rows.join(rich, "k1")
+        met = rows.groupBy("col").agg(F.count("*").alias("m")).where("m > 1").select("col")
+        left = stash(rows.join(met, "col"))
+        rows = left
+    width = rows.groupBy("col").agg(F.count("*").alias("width"))
+    wide = rows.join(width, "col")
+    long = wide.where(F.col("width") > SMALL).groupBy("k1").agg(F.count("*").alias("long"))
+    wide = stash(wide.join(long, "k1", "left").withColumn("long", F.coalesce("long", F.lit(0))))
+    short = wide.where(F.col("width") <= SMALL).select("col", "n", "k1", "pos", "long")
+    near = short.repartition(parts, "col").sortWithinPartitions("col", "n", "k1").mapInArrow(_small_pairs(percent), "a long, b long, need long, spare long")
+    near = near.groupBy("a", "b", "need", "spare").agg(F.count("*").alias("c")).where("c + spare >= need")
+    edges = near.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = edges.unionByName(wide.where((F.col("width") > SMALL) & (F.col("long") >= need)).select(F.col("k1").alias("u"), F.col("col").alias("v")))
+    groups = stash(components(edges))
+    chosen = rows.join(groups.select(F.col("node").alias("k1")), "k1", "left_semi")
+    classes = stash(chosen.groupBy("k1", "n").agg(F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("cells")).mapInArrow(_packed, "k1 long, n int, cols binary, places binary"))
+    placed = classes.join(groups.withColumnRenamed("node", "k1"), "k1")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
+    dealt = placed.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(k1), blocks)"))
+    bits = _bitmap(spark, classes.select("k1"))
+    active = base.select("text").mapInArrow(_active_sets(k, lower, bits), "k1 long, k2 long, n long, shingles binary").select("k1", "shingles").dropDuplicates(["k1"])
+    cells = dealt.join(active, "k1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * blocks + greatest(block, other)"))
+    cells = cells.select("component", "cell", "k1", "n", "block", "cols", "places", "shingles")
+    links = stash(cells.repartition(parts, "component", "cell").sortWithinPartitions("component", "cell").mapInArrow(_products(percent, spanning), "a long, b long").distinct())
+    release(rows, wide, classes, groups)
     return members, links
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,12 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def others(df: DataFrame, text_col: str, *results: str) -> list[str]:
+    """Columns to carry beside a text: all but it and those named like a result."""
+    taken = {text_col.lower(), *(r.lower() for r in results)}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def ranges_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -93,17 +100,40 @@ def with_row_numbers(df: DataFrame, name: str, order: list[Column]) -> tuple[Dat
     return ranged.join(F.broadcast(starts_df), part).withColumn(name, F.col(start) + within).drop(mark, part, start), total
 
 
+def _contract(batches):
+    """A partition's edges as stars: each node with the least node it reaches in here."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if root(x) != x]
+    for lo in range(0, len(nodes), 100_000):
+        part = nodes[lo : lo + 100_000]
+        yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of `edges(u, v)`: rows (node, component = least node).
+    """Connected components of `edges(u, v)` (long): rows (node, component = least node).
 
     Alternating large-star and small-star rounds: each round is two minimum aggregations
     and two equi-joins, whatever the degree of a node, and lineage is cut after each.
+    Before a round every partition turns its own edges into stars, which makes long chains
+    short; its memory is bounded by the partition's edges.
     """
-    now = stash(
-        edges.where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
+
+    def contracted(df: DataFrame) -> DataFrame:
+        return df.select("u", "v").mapInArrow(_contract, "u long, v long")
+
+    now = stash(contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
 
     def state(df: DataFrame):
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
@@ -118,8 +148,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = stash(small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-        release(now)
+        merged = stash(small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        after = stash(contracted(merged).distinct())
+        release(now, merged)
         now, before = after, seen
         seen = state(now)
         if seen == before:
