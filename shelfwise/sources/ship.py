@@ -10,10 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 2_000  # rows sent to a Python worker at once; texts may be long
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to all workers, once for each application."""
+    """Send the package's sources to all workers, once for each application.
+
+    Also lowers the rows of an Arrow batch, where the session has Spark's default: batches
+    of 10,000 whole texts take much of an executor's memory.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         home = Path(__file__).resolve().parents[1]
