@@ -32,6 +32,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = SHINGLE) -> D
     """
     w, s, m, f = (f"__{name}_{x}" for x in "wsmf")
     words = f"transform(filter(split(coalesce({text}, ''), r'{_SPACES}'), x -> x <> ''), x -> xxhash64(x))"
+    # every array that a lambda looks into is used twice outside of it or in it: the planner
+    # then keeps it as a column of its own, and does not evaluate it anew for each element
     df = df.withColumn(w, F.expr(words))
     many = "xxhash64(" + ", ".join(f"{w}[i + {j}]" for j in range(k)) + ")"
     hashes = f"case when size({w}) >= {k} then transform(sequence(0, size({w}) - {k}), i -> {many}) when size({w}) > 0 then array(xxhash64({w})) else cast(array() as array<bigint>) end"
@@ -40,7 +42,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = SHINGLE) -> D
     df = df.withColumn(f, F.expr(f"map_from_arrays(transform({m}, x -> {_bin('x')}), {m})"))
     nearest = f"array_min(transform({m}, x -> named_struct('at', xxhash64(b, {_bin('x')}), 'value', x))).value"
     filled = f"transform(sequence(0L, {BINS - 1}L), b -> cast(coalesce({f}[b], {nearest}) & {(1 << BITS) - 1} as smallint))"
-    df = df.withColumn(f"{name}_bins", F.expr(f"if(size({m}) = 0, cast(array() as array<smallint>), {filled})"))
+    df = df.withColumn(f"{name}_bins", F.expr(f"if(size({f}) = 0, cast(array() as array<smallint>), {filled})"))
     df = df.drop(w, s, m, f)
     return df.withColumn(name, F.expr(f"lower(array_join(transform({name}_bins, v -> lpad(hex(v), {BITS // 4}, '0')), ''))"))
 
