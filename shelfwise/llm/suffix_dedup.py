@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ranges_for, stash
+from .tables import others, ranges_for, stash
 from .words import Prefix, mix, slices, utf8
 
 ANCHOR = 64
-TILE = 1 << 21
+TILE = 1 << 19
 BITS = 1 << 26
 
 
@@ -86,7 +86,7 @@ def _grams(width: int):
 def _new_texts(column, seen: set[bytes]):
     """Slices of texts whose digest this task has not met: (bytes, offsets, digests)."""
     buf, offs = utf8(column)
-    for i, j in slices(offs):
+    for i, j in slices(offs, TILE):
         data = buf[offs[i] : offs[j]].tobytes()
         base, keep, digests = int(offs[i]), [], []
         for d in range(i, j):
@@ -384,16 +384,16 @@ def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: all but the text) and n_bytes, n_removed, n_spans,
+    """The columns `carry` (default: all but the text and namesakes) and n_bytes, n_removed, n_spans,
     kept_sha256, kept (the bytes that stay; a cut may fall inside a character).
 
     Null texts are empty. Texts under `width` bytes never lose a byte. Spans that touch are one.
     """
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    stats = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    carry = others(docs, text_col, *stats) if carry is None else carry
     found = repeated_spans(docs, width, text_col).withColumnsRenamed({"whole": "__whole", "spans": "__spans", "digest": "__digest"})
     base = docs.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     joined = base.withColumn("__digest", F.unhex(F.md5("__text"))).join(found, "__digest", "left").drop("__digest")
     joined = joined.withColumn("__whole", F.coalesce("__whole", F.lit(False)))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    stats = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     return joined.mapInArrow(_cut([*carry, *stats], carry), ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"]))
