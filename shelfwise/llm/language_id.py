@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stash
+from .tables import others, stash
 from .words import slices, utf8
 
 DIMS = 4096
-SAMPLE = 4000
+SAMPLE = 2000
 CLUSTERS = 4
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def gram_counts(part: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -60,8 +60,8 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _sliced(column: pa.Array):
     buf, offs = utf8(column)
     for i, j in slices(offs, SLICE):
-        for lo in range(i, j, 512):
-            hi = min(lo + 512, j)
+        for lo in range(i, j, 256):
+            hi = min(lo + 256, j)
             yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 
@@ -134,14 +134,17 @@ def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: st
     per = base.groupBy("lang").agg(F.count("*").alias("n"))
     many = max(1, per.count())
     share = per.select("lang", (F.lit(float(1 << 30)) * (sample / many) / F.col("n")).alias("below"))
-    chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(2 * sample) if many <= sample else base.limit(0)
+    chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(sample + sample // 2) if many <= sample else base.limit(0)
     got = stash(chosen.select("lang", "text").mapInArrow(_vectors, "lang string, counts binary")).orderBy("lang", "counts").toArrow()
     lang = np.array(got.column("lang").to_pylist())
-    counts = np.array([np.frombuffer(b, np.uint16) for b in got.column("counts").to_pylist()], np.float32)
     if not len(lang):
         return None
-    filled = counts.sum(axis=1) > 0
-    lang, x = lang[filled], unit_rows(counts[filled], idf)
+    x = np.empty((len(lang), DIMS), np.float32)
+    for i, b in enumerate(got.column("counts")):
+        x[i] = unit_rows(np.frombuffer(b.as_buffer(), np.uint16)[None, :].astype(np.float32), idf)[0]
+    del got
+    filled = x.any(axis=1)
+    lang, x = lang[filled], x[filled]
     langs, centroids, floors = [], [], []
     for name in sorted(set(lang.tolist())):
         mine = x[lang == name]
@@ -184,12 +187,12 @@ def _predict(model, names: list[str], carry: list[str]):
 
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected"), carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: all but the text) and language, cosine and rejection.
+    """The columns `carry` (default: all but the text and namesakes) and language, cosine and rejection.
 
     Null texts and texts without a letter are `und`, with score 0, and rejected; so are all
     without a model. Equal texts get equal answers; no other column is looked at.
     """
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    carry = others(docs, text_col, *names) if carry is None else carry
     base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
     lang, score, out = names

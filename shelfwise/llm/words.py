@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 2 << 20  # bytes of text handled at once; bounds the memory of a task
+SLICE = 1 << 19  # bytes of text handled at once; bounds the memory of a task
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INV = U(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
