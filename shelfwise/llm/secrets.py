@@ -95,9 +95,12 @@ def _suspects(texts: pa.Array) -> np.ndarray:
         part, own = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         if not len(part):
             continue
-        run = np.concatenate([[False], _RUN_BYTE[part], [False]])
-        edge = np.flatnonzero(run[1:] != run[:-1])
-        a, z = edge[::2], edge[1::2]
+        run = _RUN_BYTE[part]
+        joined = run[:-1] & run[1:]
+        cuts = own[(own > 0) & (own < len(part))]
+        joined[cuts - 1] = False  # a run ends with its text
+        a = np.flatnonzero(run & ~np.concatenate([[False], joined]))
+        z = np.flatnonzero(run & ~np.concatenate([joined, [False]])) + 1
         long = z - a >= WINDOW
         at = np.searchsorted(own, a[long], "right") - 1
         hit[lo + at] = True

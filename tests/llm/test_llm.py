@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,14 @@ def test_secrets(spark, docs, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_secrets_of_adjacent_texts():
+    key = "24be64439e3e49cf46b2d7c90aa1f00d"
+    texts = ["plain words end", f"{key} is first", "", f"last is {key}", None, key, "abcdefghij", "klmnopqrst1"]
+    for some in (texts, texts[::-1], texts * 200):
+        marks = secrets._suspects(pa.array(some))
+        assert marks.tolist() == [key in (t or "") for t in some]
+
+
 def test_peak_entropy_is_the_best_window():
     rng = random.Random(4)
     for _ in range(20):
