@@ -3,8 +3,9 @@
 The tokenizer splits a text by a fixed pattern and encodes the parts one by one. Here the
 parts are found with array operations on the bytes, and only parts not met before go to
 the tokenizer; a worker keeps what it has encoded. Texts with characters whose class the
-tables below do not settle (apostrophes, rare spaces, anything from U+0250 on) are given
-to the tokenizer whole, so ids are the tokenizer's own in every case.
+tables below do not settle (apostrophes, rare spaces, anything from U+0250 on), and texts
+that hold the string of an added token, are given to the tokenizer whole, so ids are those
+of the file as loaded in every case.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import Prefix, slices, utf8
 
@@ -38,9 +40,15 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+def _holds_added(texts: pa.Array, path: str) -> np.ndarray:
+    """Whether each text holds the string of an added token; those are matched before the pattern."""
+    out = np.zeros(len(texts), bool)
+    for token in _tokenizer(path).get_added_tokens_decoder().values():
+        out |= pc.fill_null(pc.match_substring(texts, token.content), False).to_numpy(zero_copy_only=False)
+    return out
 
 
 class _Known:
@@ -104,10 +112,11 @@ def _parts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(texts: pa.Array, path: str):
     """For slices of a column: (from, to, ids end to end, n+1 offsets)."""
     buf, offs = utf8(texts)
-    known = _known(path)
+    known, added = _known(path), _holds_added(texts, path)
     for i, j in slices(offs):
         part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         starts, ask = _parts(part, own) if len(part) else (np.zeros(0, np.int64), np.zeros(j - i, bool))
+        ask |= added[i:j]
         doc = np.searchsorted(own, starts, "right") - 1
         ends = np.append(starts[1:], len(part))
         use = ~ask[doc]

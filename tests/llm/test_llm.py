@@ -201,6 +201,16 @@ def test_packing(docs, nothing):
     assert packing.packed(nothing, path).count() == 0
 
 
+def test_ids_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["end of doc<|endoftext|>Next doc", "plain <|endof", "text|> plain", None, "", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "end of doc"]
+    got = [ids[at[k] : at[k + 1]].tolist() for i, j, ids, at in byte_bpe.encode(pa.array(texts), path) for k in range(j - i)]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts] and 50256 in got[0]
+
+
 def test_parts_follow_the_pattern():
     import regex
 
