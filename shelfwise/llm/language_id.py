@@ -3,9 +3,10 @@
 Texts become hashed counts of 1 to 3 byte grams of their letters, damped, weighted by inverse
 document frequency and normalised. Each language has several centroids, found by spherical
 k-means on a bounded sample; the nearest one by cosine decides, and a text further away from
-it than almost all learned ones of that centroid is rejected. Document frequencies are counted over all
+it than almost all labelled ones of its language is rejected. Document frequencies are counted over all
 learnable documents; the sample (`SAMPLE` rows, dealt evenly to languages by a hash of the
-id) only places the centroids. What is broadcast has a fixed size for each language.
+id) only places the centroids and the limits of rejection. What is broadcast has a fixed size
+for each language.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 SLICE = 1 << 19
+FOLDS = 4
+CALIBRATED = 10  # rows that a language needs for a limit of its own
 
 
 def gram_counts(part: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, part, own in _sliced(batch.column("text")):
             counts = np.minimum(gram_counts(part, own), 65535).astype(np.uint16)
-            yield pa.record_batch([batch.column("lang").slice(lo, hi - lo), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+            yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "fold")), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "fold", "counts"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -103,6 +106,35 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def floor_of(cos: np.ndarray) -> float:
+    """The 1 % quantile, less a share of its distance from the median: a third, more below 60 rows."""
+    low, mid = np.quantile(cos, [0.01, 0.5])
+    return max(0.0, float(low - (mid - low) * max(1 / 3, min(1.0, 20 / len(cos)))))
+
+
+def _floors(x: np.ndarray, lang: np.ndarray, fold: np.ndarray, langs: list[str], centroids: np.ndarray, clusters: int) -> np.ndarray:
+    """The floor of each centroid, by its language, from cosines to centroids learned without the row.
+
+    Each fold meets centroids of its language learned from the other folds. Rows nearer to
+    another language do not count. Languages with fewer than CALIBRATED rows left share the
+    floor of all rows left.
+    """
+    own, cos = np.array(langs), {}
+    for name in sorted(set(langs)):
+        mine, other = lang == name, centroids[own != name]
+        found = []
+        for f in range(FOLDS):
+            rows, rest = x[mine & (fold == f)], x[mine & (fold != f)]
+            if len(rows) and len(rest):
+                near = (rows @ spherical_kmeans(rest, clusters).T).max(axis=1)
+                found.append(near[near >= (rows @ other.T).max(axis=1)] if len(other) else near)
+        cos[name] = np.concatenate(found) if found else np.zeros(0)
+    left = np.concatenate(list(cos.values()))
+    shared = floor_of(left) if len(left) else 0.0
+    floor = {name: floor_of(c) if len(c) >= CALIBRATED else shared for name, c in cos.items()}
+    return np.array([floor[name] for name in langs])
+
+
 @dataclass
 class Model:
     langs: list[str]  # one for each centroid
@@ -118,14 +150,15 @@ class Model:
         return [self.langs[a] for a in at.tolist()], np.clip(best, 0.0, 1.0), best < self.floors[at]
 
 
-def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, clusters: int = CLUSTERS, slack: float = 0.3) -> Model | None:
+def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model | None:
     """Learn from rows where `learnable` holds and language and text are not null.
 
-    `slack`: a text is rejected below this share of the least learned cosine but for 1 %.
+    All rows of the sample place the centroids; floors come from cosines of the sample's folds
+    (by a hash of the text) to centroids learned without them.
     None without a usable row.
     """
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    base = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
+    base = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(FOLDS)).cast("int").alias("fold"))
     df = dict(base.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect())  # DIMS + 1 rows
     total = df.pop(-1, 0)
     if not total:
@@ -135,8 +168,8 @@ def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: st
     many = max(1, per.count())
     share = per.select("lang", (F.lit(float(1 << 30)) * (sample / many) / F.col("n")).alias("below"))
     chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(sample + sample // 2) if many <= sample else base.limit(0)
-    got = stash(chosen.select("lang", "text").mapInArrow(_vectors, "lang string, counts binary")).orderBy("lang", "counts").toArrow()
-    lang = np.array(got.column("lang").to_pylist())
+    got = stash(chosen.select("lang", "fold", "text").mapInArrow(_vectors, "lang string, fold int, counts binary")).orderBy("lang", "counts").toArrow()
+    lang, fold = np.array(got.column("lang").to_pylist()), np.array(got.column("fold").to_pylist(), int)
     if not len(lang):
         return None
     x = np.empty((len(lang), DIMS), np.float32)
@@ -144,19 +177,16 @@ def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: st
         x[i] = unit_rows(np.frombuffer(b.as_buffer(), np.uint16)[None, :].astype(np.float32), idf)[0]
     del got
     filled = x.any(axis=1)
-    lang, x = lang[filled], x[filled]
-    langs, centroids, floors = [], [], []
+    lang, x, fold = lang[filled], x[filled], fold[filled]
+    langs, centroids = [], []
     for name in sorted(set(lang.tolist())):
-        mine = x[lang == name]
-        c = spherical_kmeans(mine, clusters)
-        near = mine @ c.T
-        own = np.argmax(near, axis=1)
-        for j in range(len(c)):
-            cos = near[own == j, j]
-            langs.append(name)
-            centroids.append(c[j])
-            floors.append(slack * float(np.quantile(cos, 0.01)) if len(cos) else 0.0)
-    return Model(langs, np.array(centroids, np.float32), np.array(floors), idf) if langs else None
+        c = spherical_kmeans(x[lang == name], clusters)
+        langs += [name] * len(c)
+        centroids.append(c)
+    if not langs:
+        return None
+    found = np.concatenate(centroids).astype(np.float32)
+    return Model(langs, found, _floors(x, lang, fold, langs, found, clusters), idf)
 
 
 def has_letter(part: np.ndarray, own: np.ndarray) -> np.ndarray:

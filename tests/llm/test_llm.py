@@ -387,6 +387,24 @@ def test_language_id(spark, nothing):
     assert held == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
 
 
+def test_language_rejection_of_the_same_script(spark):
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    after = {lang: {c: rng.choices(letters, k=8) for c in letters} for lang in ("aa", "bb", "cc")}
+
+    def word(lang):
+        w = rng.choice(letters)
+        for _ in range(rng.randint(1, 8)):
+            w += rng.choice(after[lang][w[-1]])
+        return w
+
+    rows = [(lang, " ".join(word(lang) for _ in range(rng.choice([60, 120, 300])))) for lang in ("aa", "bb", "cc") for _ in range(200)]
+    rows += [("noise", "".join(rng.choice(letters + "    ") for _ in range(n))) for n in (400, 2000) * 20]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language_id.fit(df, ~language_id.held_out() & F.col("lang").isin("aa", "bb"))
+    out = dict(language_id.identified(df, model).groupBy("lang").agg(F.avg(F.col("rejected").cast("int"))).collect())
+    assert out["aa"] <= 0.02 and out["bb"] <= 0.02 and out["cc"] >= 0.95 and out["noise"] == 1, out
+
+
 def by_hand_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
