@@ -4,14 +4,16 @@ Texts become hashed counts of 1 to 3 byte grams of their letters, damped, weight
 document frequency and normalised. Each language has several centroids, found by spherical
 k-means on a bounded sample; the nearest one by cosine decides, and a text further away from
 it than almost all labelled ones of its language is rejected. Document frequencies are counted over all
-learnable documents; the sample (`SAMPLE` rows, dealt evenly to languages by a hash of the
-id) only places the centroids and the limits of rejection. What is broadcast has a fixed size
-for each language.
+learnable documents; the sample (about `SAMPLE` rows by a hash of the id, three quarters of
+them dealt evenly to languages and a quarter by their rows) only places the centroids and the
+limits of rejection. The `SAMPLE` most frequent languages take part, with a warning if there
+are more; a rarer one gets no centroid. What is broadcast has a fixed size for each language.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,14 +166,17 @@ def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: st
     if not total:
         return None
     idf = np.log((1 + total) / (1 + np.array([df.get(d, 0) for d in range(DIMS)]))).astype(np.float32) + np.float32(1)
-    per = base.groupBy("lang").agg(F.count("*").alias("n"))
-    many = max(1, per.count())
-    share = per.select("lang", (F.lit(float(1 << 30)) * (sample / many) / F.col("n")).alias("below"))
-    chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(sample + sample // 2) if many <= sample else base.limit(0)
+    per = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample + 1).collect()
+    if len(per) > sample:
+        warnings.warn(f"only the {sample} most frequent languages get centroids", stacklevel=2)
+        per = per[:sample]
+    even, spare = max(1.0, 0.75 * sample / len(per)), 0.25 * sample / total
+    share = docs.sparkSession.createDataFrame([(r["lang"], (1 << 30) * (even / r["n"] + spare)) for r in per], "lang string, below double")
+    chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(sample + sample // 2)
     got = stash(chosen.select("lang", "fold", "text").mapInArrow(_vectors, "lang string, fold int, counts binary")).orderBy("lang", "counts").toArrow()
     lang, fold = np.array(got.column("lang").to_pylist()), np.array(got.column("fold").to_pylist(), int)
     if not len(lang):
-        return None
+        raise ValueError("no labelled row was chosen for the sample")
     x = np.empty((len(lang), DIMS), np.float32)
     for i, b in enumerate(got.column("counts")):
         x[i] = unit_rows(np.frombuffer(b.as_buffer(), np.uint16)[None, :].astype(np.float32), idf)[0]

@@ -405,6 +405,20 @@ def test_language_rejection_of_the_same_script(spark):
     assert out["aa"] <= 0.02 and out["bb"] <= 0.02 and out["cc"] >= 0.95 and out["noise"] == 1, out
 
 
+def test_many_language_tags(spark):
+    rng = random.Random(3)
+    forms = {"aa": ["sha", "lo", "ti", "ren"], "bb": ["zü", "kro", "ich", "ung"]}
+    say = lambda lang: " ".join("".join(rng.choice(forms[lang]) for _ in range(3)) for _ in range(30))
+    clean = [(i, lang, say(lang)) for i, lang in enumerate(["aa", "bb"] * 200)]
+    stray = [(1000 + i, f"tag{i}", f"{i} qyx{i} jw{i * 7}") for i in range(60)]
+    df = spark.createDataFrame(clean + stray, "doc_id long, lang string, text string")
+    with pytest.warns(UserWarning, match="50 most frequent"):
+        model = language_id.fit(df, F.lit(True), sample=50)
+    out = language_id.identified(df.where("lang in ('aa', 'bb')"), model).collect()
+    assert {"aa", "bb"} <= set(model.langs) and len(set(model.langs)) <= 50
+    assert sum(r["lang_pred"] == r["lang"] and not r["rejected"] for r in out) >= 0.95 * len(out)
+
+
 def by_hand_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
