@@ -8,20 +8,43 @@ from pyspark.sql import functions as F
 from .dictionaries import ALIASES, DISPLAY, LANG_PREFIX, STOPWORDS
 
 NOT_WORD = r"[^\p{L}\p{Nd}]+"
-# Bounds are ASCII: JVM word boundaries take accented letters for word characters.
+# Fixed behaviour, as (pattern, what it becomes, strings a text must hold for it to match).
+# Bounds of spellings are ASCII: JVM word boundaries take accented letters for word characters.
 _SPELLINGS = [
-    (r"(?i)(?<![0-9A-Za-z_])c\+\+(?![0-9A-Za-z_])", "cpp"),
-    (r"(?i)(?<![0-9A-Za-z_])c#(?![0-9A-Za-z_])", "csharp"),
-    (r"(?i)(?<![0-9A-Za-z_])f#(?![0-9A-Za-z_])", "fsharp"),
-    (r"(?i)(?<![0-9A-Za-z_])\.net(?![0-9A-Za-z_])", "dotnet"),
-    (r"(?i)(?<![0-9A-Za-z_])node\.js(?![0-9A-Za-z_])", "nodejs"),
+    (r"(?i)(?<![0-9A-Za-z_])c\+\+(?![0-9A-Za-z_])", "cpp", ("++",)),
+    (r"(?i)(?<![0-9A-Za-z_])c#(?![0-9A-Za-z_])", "csharp", ("c#", "C#")),
+    (r"(?i)(?<![0-9A-Za-z_])f#(?![0-9A-Za-z_])", "fsharp", ("f#", "F#")),
+    (r"(?i)(?<![0-9A-Za-z_])\.net(?![0-9A-Za-z_])", "dotnet", (".n", ".N")),
+    (r"(?i)(?<![0-9A-Za-z_])node\.js(?![0-9A-Za-z_])", "nodejs", (".j", ".J")),
 ]
+# An address is a whole run of non-spaces with :// inside; a match begins where a run does, so
+# that long runs are read once.
 _MARKUP = [
-    (r"!\[[^\]]*\]\([^)]*\)", " "),
-    (r"\[([^\]]*)\]\([^)]*\)", " $1 "),
-    (r"<[a-zA-Z/!][^>]*>", " "),
-    (r"\S+://\S+|(?<![0-9A-Za-z_])www\.\S+", " "),
+    (r"!\[[^\]]*\]\([^)]*\)", " ", ("](",)),
+    (r"\[([^\]]*)\]\([^)]*\)", " $1 ", ("](",)),
+    (r"<[a-zA-Z/!][^>]*>", " ", (">",)),
+    (r"(?<!\S)\S+?://\S+|(?<![0-9A-Za-z_])www\.\S+", " ", ("://", "www.")),
 ]
+# Between lower|Upper and Upper|Upper lower.
+_CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+_MARK = "\x01"  # no letter and no digit
+
+
+def replaced(s: Column, rules: list[tuple[str, str, tuple[str, ...]]]) -> Column:
+    """Regular expression replacements in turn, each only in texts that hold one of its strings."""
+    def rule(pattern: str, to: str, marks: tuple[str, ...]):
+        return lambda x: F.when(_holds(x, marks), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    for r in rules:  # a lambda names its text, which is so written and evaluated once, however many rules follow
+        s = F.transform(F.array(s), rule(*r))[0]
+    return s
+
+
+def _holds(s: Column, marks: tuple[str, ...]) -> Column:
+    out = F.contains(s, F.lit(marks[0]))
+    for m in marks[1:]:
+        out = out | F.contains(s, F.lit(m))
+    return out
 
 
 def owner(full_name: Column) -> Column:
@@ -37,16 +60,27 @@ def name(full_name: Column) -> Column:
 
 def spell(s: Column) -> Column:
     """Language names with signs, in letters: C++, C#, F#, .NET, Node.js."""
-    for pattern, to in _SPELLINGS:
-        s = F.regexp_replace(s, pattern, to)
-    return s
+    return replaced(s, _SPELLINGS)
 
 
 def clean(s: Column) -> Column:
     """Without images, links (their text stays), tags and addresses; then `spell`."""
-    for pattern, to in _MARKUP:
-        s = F.regexp_replace(s, pattern, to)
-    return spell(s)
+    return replaced(s, [*_MARKUP, *_SPELLINGS])
+
+
+def camel_words(s: Column) -> Column:
+    """The camel parts of a text's words, in order; known words stay whole.
+
+    Boundaries are marked in one pass over the text, and only words with a mark are split.
+    """
+    marked = F.regexp_replace(F.translate(s, _MARK, " "), _CAMEL, _MARK)
+    whole = F.filter(F.split(marked, rf"[^\p{{L}}\p{{Nd}}{_MARK}]+"), lambda w: w != "")
+
+    def parts(w: Column) -> Column:
+        joined = F.translate(w, _MARK, "")
+        return F.when(F.contains(w, F.lit(_MARK)), F.when(known(joined), F.array(joined)).otherwise(F.split(w, _MARK))).otherwise(F.array(w))
+
+    return F.flatten(F.transform(whole, parts))
 
 
 def language_term(language: Column) -> Column:
@@ -61,7 +95,7 @@ def canonical_topic(topic: Column) -> Column:
 
 def camel_parts(word: Column) -> Column:
     """Parts at lower|Upper and at Upper|Upper lower."""
-    return F.split(word, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
+    return F.split(word, _CAMEL)
 
 
 def known(word: Column) -> Column:
@@ -71,11 +105,15 @@ def known(word: Column) -> Column:
 
 def normalized(word: Column) -> Column:
     """The term of a word before stemming, or null: length in bytes, alias, stopword, number."""
-    w = F.lower(word)
-    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    term = F.coalesce(F.element_at(table, w), w)
+    term = aliased(F.lower(word))
     drop = term.isin(STOPWORDS) | term.rlike(r"^v?\p{Nd}+$")
-    return F.when(F.octet_length(w).between(2, 24) & ~drop, term)
+    return F.when(F.octet_length(F.lower(word)).between(2, 24) & ~drop, term)
+
+
+def aliased(word: Column) -> Column:
+    """The term that a lower-case word stands for, or the word itself."""
+    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return F.when(word.isin(sorted(ALIASES)), F.element_at(table, word)).otherwise(word)
 
 
 def first_words(s: Column, n: int) -> Column:

@@ -25,9 +25,18 @@ def class_scores(terms: DataFrame, bigrams: DataFrame, assigned: DataFrame) -> D
     dec = "decimal(24,8)"
     both = terms.select("doc_id", "term", F.col("weight").cast(dec).alias("w"), F.col("topic_weight").cast(dec).alias("t"))
     both = both.unionByName(bigrams.select("doc_id", F.col("bigram").alias("term"), (F.col("weight") * BIGRAM_BOOST).cast(dec).alias("w"), F.lit(0).cast(dec).alias("t")))
-    per = both.join(assigned, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
-    total = per.groupBy("cluster").agg(F.sum("w").cast("double").alias("in_cluster"))
-    everywhere = per.groupBy("term").agg(F.sum("w").cast("double").alias("of_term"))
+    return shares(both.join(assigned, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("w"), F.sum("t").alias("t")))
+
+
+def shares(per: DataFrame) -> DataFrame:
+    """Rows (cluster, term, score, weight) of the sums (cluster, term, w, t).
+
+    The totals test `t`, and all readers the keys: so all three need the same rows and columns
+    of `per`, which is then computed and exchanged once.
+    """
+    per = per.where("cluster is not null and term is not null")
+    total = per.groupBy("cluster").agg(F.sum("w").cast("double").alias("in_cluster"), F.min("t").alias("low")).where("low >= 0").drop("low")
+    everywhere = per.groupBy("term").agg(F.sum("w").cast("double").alias("of_term"), F.min("t").alias("low")).where("low >= 0").drop("low")
     w, t = F.col("w").cast("double"), F.col("t").cast("double")
     bonus = 1 + (TOPIC_BOOST - 1) * F.least(F.lit(1.0), t / w)
     scored = per.join(total, "cluster").join(everywhere, "term").where("in_cluster > 0 and of_term > 0 and w > 0")

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dictionaries import ALIASES, TOPIC_PREFIX
-from ..functions.text import NOT_WORD, camel_parts, canonical_topic, clean, known, language_term, normalized, spell
+from ..functions.dictionaries import TOPIC_PREFIX
+from ..functions.text import NOT_WORD, aliased, camel_parts, camel_words, canonical_topic, clean, language_term, normalized, spell
 from ..functions.udfs import stemmed
 
 
@@ -33,8 +33,7 @@ README_INFER_WORDS = 20
 
 def words(text: Column) -> Column:
     """The camel parts of a text's words, in order; known words stay whole."""
-    whole = F.filter(F.split(clean(text), NOT_WORD), lambda w: w != "")
-    return F.flatten(F.transform(whole, lambda w: F.when(known(w), F.array(w)).otherwise(camel_parts(w))))
+    return camel_words(clean(text))
 
 
 def tokenized(df: DataFrame, text: str, keys: list[str], stem: bool = True) -> DataFrame:
@@ -44,14 +43,52 @@ def tokenized(df: DataFrame, text: str, keys: list[str], stem: bool = True) -> D
     terms next to each other need not have adjacent positions.
     """
     out = df.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "raw"))
-    out = out.withColumn("surface", normalized(F.col("raw"))).where("surface is not null")
+    out = out.select("*", _if_any(normalized(F.col("raw"))).alias("surface"))
     return out.withColumn("term", stem_of(out, "surface") if stem else F.col("surface"))
 
 
+def _if_any(x: Column) -> Column:
+    """`x` for rows where it is not null. A filter of its own would evaluate `x` a second time."""
+    return F.explode(F.filter(F.array(x), lambda t: t.isNotNull()))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of a plain scan dealt anew where it has fewer tasks than the session has cores.
+
+    Reading words costs far more than sending the texts, and a table of few row groups would
+    leave most cores idle. Larger tables stay as they are read.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def term_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", stem: bool = False) -> DataFrame:
+    """Rows (key, term, weight): occurrences of each term in each text.
+
+    Words are counted before they are exchanged, and only distinct ones of a text are stemmed.
+    """
+    raw = docs.select(key, F.explode(words(F.col(text))).alias("raw"))
+    terms = raw.select(key, _if_any(normalized(F.col("raw"))).alias("term"))
+    # a sum may be null for the planner: so document_frequency still counts it, and both read the same columns
+    counted = terms.groupBy(key, "term").agg(F.sum(F.lit(1)).alias("n"))
+    if not stem:
+        return counted.select(key, "term", F.col("n").cast("double").alias("weight"))
+    return counted.withColumn("term", stem_of(counted, "term")).groupBy(key, "term").agg(F.sum("n").cast("double").alias("weight"))
+
+
 def stem_of(df: DataFrame, col: str) -> Column:
     return stemmed()(F.col(col))
 
 
+def terms_and_bigrams(tokens: DataFrame, boost: float, keys: list[str]) -> DataFrame:
+    """Rows (*keys, term, weight): every term with weight 1 and every bigram with `boost`, in one pass."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    out = tokens.select(*keys, "term", F.lag("term").over(w).alias("before"))
+    one = F.struct("term", F.lit(1.0).alias("weight"))
+    two = F.struct(F.concat_ws(" ", "before", "term").alias("term"), F.lit(float(boost)).alias("weight"))
+    return out.select(*keys, F.inline(F.when(F.col("before") != F.col("term"), F.array(one, two)).otherwise(F.array(one))))
+
+
 def bigrams(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, bigram, surface): neighbouring terms that differ, within one field element."""
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -68,8 +105,7 @@ def compound_names(names: DataFrame, parts: DataFrame) -> DataFrame:
     chunks = F.filter(F.split(spell(F.trim("name")), NOT_WORD), lambda w: w != "")
     joined = F.lower(F.array_join(chunks, ""))
     split = (F.size(chunks) > 1) | F.exists(chunks, lambda c: F.size(camel_parts(c)) > 1)
-    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    term = F.coalesce(F.element_at(table, joined), joined)
+    term = aliased(joined)
     out = names.where(split & (F.length(joined) >= 2)).select("doc_id", term.alias("term"), F.when(term != joined, term).otherwise(F.lower(F.trim("name"))).alias("surface"))
     return out.join(parts.select("doc_id", "term"), ["doc_id", "term"], "left_anti")
 

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    """Rows (term, df) of (doc_id, term, ...) with one row for each pair."""
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    """Rows (term, df, total) of (doc_id, term, weight) with one row for each pair: documents and weights.
+
+    The weight is counted, so that this reads the same columns as a join with the terms: the
+    planner then computes and exchanges them once.
+    """
+    return terms.groupBy("term").agg(F.count("weight").alias("df"), F.sum(F.col("weight").cast("decimal(20,6)")).alias("total"))
 
 
 def vocabulary(terms: DataFrame, n_docs: int, min_df: int = 2, max_df_ratio: float = 0.4, cap: int = 0, bm25: bool = False) -> DataFrame:
-    """Rows (term, df, idf): terms in at least min_df and at most ceil(ratio * n) documents.
+    """Rows (term, df, total, idf): terms in at least min_df and at most ceil(ratio * n) documents.
 
     A ceiling below min_df is lifted to n. With a cap, terms of the largest df * idf stay.
     """
@@ -38,14 +42,13 @@ def bm25(terms: DataFrame, vocab: DataFrame, n_docs: int, k1: float = 1.2, b: fl
     """Rows (doc_id, term, val), unit length. Lengths are sums of in-vocabulary weights."""
     k1 = k1 if k1 > 0 else 1.2
     b = b if 0 <= b <= 1 else 0.75
-    inside = terms.join(vocab, "term").select("doc_id", "term", "idf", "weight")
-    length = inside.groupBy("doc_id").agg(F.sum(F.col("weight").cast("decimal(20,6)")).cast("double").alias("len"))
-    total = length.agg((F.sum(F.col("len").cast("decimal(20,6)")).cast("double") / max(n_docs, 1)).alias("mean"))
-    average = total.select(F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))  # one row
+    mean = vocab.agg(F.sum("total").cast("double")).head()[0] or 0.0
+    mean = mean / max(n_docs, 1) or 1.0
+    inside = terms.join(vocab.select("term", "idf"), "term")
+    length = F.sum(F.col("weight").cast("decimal(20,6)")).over(Window.partitionBy("doc_id")).cast("double")
     tf = F.col("weight")
-    w = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = inside.join(length, "doc_id").join(F.broadcast(average), F.lit(True))
-    return unit(scored.select("doc_id", "term", w.alias("w")))
+    w = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
+    return unit(inside.withColumn("len", length).select("doc_id", "term", w.alias("w")))
 
 
 def unit(weights: DataFrame) -> DataFrame:

@@ -175,6 +175,10 @@ def topup_overlap(spark, sf_dir) -> DataFrame:
     return merged.agg(F.count("*").alias("n_merged")).withColumn("sound", F.lit(sound))
 
 
+def _texts(spark, sf_dir, *more) -> DataFrame:
+    return tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
+
+
 # --- text and tokens ----------------------------------------------------------------------
 
 
@@ -193,22 +197,36 @@ def language_term(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(X.language_term(F.col("lang")).alias("term")).agg(F.count("*").alias("n"))
 
 
+_SIGNS = " <b>C++</b>, c# or F#; .NET and Node.js [site](http://a.example/x) ![i](y.png) see www.b.example or ftp://c"
+
+
+@query(f"with x as (select page_id, html || '{_SIGNS}' as text from pages) select page_id, {_clean('text')} as cleaned from x")
+def cleaned_pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.clean(F.concat("html", F.lit(_SIGNS))).alias("cleaned"))
+
+
+@query(f"with x as (select page_id, html || '{_SIGNS}' as text from pages), {_toks('t', 'x', 'text', 'page_id')} select term, count(*) as tf, count(distinct page_id) as df from t group by 1")
+def page_terms(spark, sf_dir) -> DataFrame:
+    pages = tokens.spread(table(spark, sf_dir, "pages")).select("page_id", F.concat("html", F.lit(_SIGNS)).alias("text"))
+    per = tokens.term_counts(pages, key="page_id")
+    return per.groupBy("term").agg(F.sum("weight").cast("long").alias("tf"), F.count("*").alias("df"))
+
+
 @query(f"with {_toks('t', 'documents', 'text')} select raw, count(*) as n from t_c group by 1")
 def camel_tokens(spark, sf_dir) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens.words(F.col("text"))).alias("raw"))
+    words = _texts(spark, sf_dir).select(F.explode(tokens.words(F.col("text"))).alias("raw"))
     return words.groupBy("raw").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_toks('t', 'documents', 'text')} select term, count(*) as tf, count(distinct doc_id) as df from t group by 1")
 def normalized_terms(spark, sf_dir) -> DataFrame:
-    t = tokens.tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"], stem=False)
-    per = t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return per.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    per = tokens.term_counts(_texts(spark, sf_dir))
+    return per.groupBy("term").agg(F.sum("weight").cast("long").alias("tf"), F.count("*").alias("df"))
 
 
 @query()
 def stemmed_terms(spark, sf_dir) -> DataFrame:
-    t = tokens.tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"], stem=False)
+    t = tokens.tokenized(_texts(spark, sf_dir), "text", ["doc_id"], stem=False)
     vocab = t.groupBy("term").agg(F.count("*").alias("tf"))
     return vocab.withColumn("stem", tokens.stem_of(vocab, "term")).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count("*").alias("n_forms"))
 
@@ -216,7 +234,7 @@ def stemmed_terms(spark, sf_dir) -> DataFrame:
 @query(f"""with {_toks('t', 'documents', 'text')}, l as (select term, lag(term) over (partition by doc_id order by pos) as before from t)
 select before || ' ' || term as bigram, count(*) as n from l where before <> term group by 1""")
 def bigrams(spark, sf_dir) -> DataFrame:
-    t = tokens.tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"], stem=False)
+    t = tokens.tokenized(_texts(spark, sf_dir), "text", ["doc_id"], stem=False)
     return tokens.bigrams(t, ["doc_id"]).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
@@ -261,8 +279,7 @@ def field_weights(spark, sf_dir) -> DataFrame:
 
 def _doc_terms(spark, sf_dir) -> tuple[DataFrame, int]:
     docs = table(spark, sf_dir, "documents")
-    t = tokens.tokenized(docs, "text", ["doc_id"], stem=False)
-    return t.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight")), docs.count()
+    return tokens.term_counts(_texts(spark, sf_dir)), docs.count()
 
 
 @query(f"with {_DOC_TERMS}{_TFIDF_VOCAB} select term, df, round(idf, 6) as idf from voc")
@@ -440,11 +457,11 @@ sc as (select cluster, term, w / tot * (w / gl) as score, w from q)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    t = tokens.tokenized(docs, "text", ["doc_id"], stem=False)
-    terms = t.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight")).withColumn("topic_weight", F.lit(0.0))
-    pairs = tokens.bigrams(t, ["doc_id"]).select("doc_id", "bigram", F.lit(1.0).alias("weight"))
-    return naming.class_scores(terms, pairs, docs.select("doc_id", F.col("lang").alias("cluster")))
+    docs = _texts(spark, sf_dir, F.col("lang").alias("cluster"))
+    t = tokens.tokenized(docs, "text", ["doc_id", "cluster"], stem=False)
+    counted = tokens.terms_and_bigrams(t, naming.BIGRAM_BOOST, ["doc_id", "cluster"]).groupBy("cluster", "term", "weight").agg(F.count("*").alias("n"))
+    per = counted.groupBy("cluster", "term").agg(F.sum((F.col("n") * F.col("weight")).cast("decimal(24,8)")).alias("w"))
+    return naming.shares(per.withColumn("t", F.lit(0).cast("decimal(24,8)")))
 
 
 @query(f"with {_CLASS} select cluster, term, round(score, 9) as score, row_number() over (partition by cluster order by round(score, 12) desc, term) as rank from sc qualify rank <= 6")
@@ -454,14 +471,14 @@ def ctfidf_terms(spark, sf_dir) -> DataFrame:
 
 @query(f"with {_toks('t', 'documents', 'text')}, m as (select term, raw as surface, count(*) as n from t group by 1, 2) select * from m qualify row_number() over (partition by term order by n desc, surface) = 1")
 def display_forms(spark, sf_dir) -> DataFrame:
-    t = tokens.tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"], stem=False)
+    t = tokens.tokenized(_texts(spark, sf_dir), "text", ["doc_id"], stem=False)
     return naming.modal(t.select("term", F.col("raw").alias("surface")), "term", "surface")
 
 
 @query(rf"""with {_toks('t', 'documents', 'text')}, m as (select lower(raw) as word, raw as written, count(*) as n from t group by 1, 2), b as (select *, sum(n) over (partition by word) as total from m qualify row_number() over (partition by word order by n desc, written) = 1)
 select word, written, n from b where n >= 3 and 2 * n > total and regexp_matches(substr(written, 2), '\p{{Lu}}')""")
 def distinctive_casing(spark, sf_dir) -> DataFrame:
-    t = tokens.tokenized(table(spark, sf_dir, "documents"), "text", ["doc_id"], stem=False)
+    t = tokens.tokenized(_texts(spark, sf_dir), "text", ["doc_id"], stem=False)
     return naming.distinctive_casing(t.select(F.lower("raw").alias("word"), F.col("raw").alias("written")))
 
 
@@ -469,7 +486,7 @@ def distinctive_casing(spark, sf_dir) -> DataFrame:
 select lang as cluster, round(count(x.term) / count(*), 6) as coverage, count(*) as size from documents join ld on lang = cluster left join (select distinct doc_id, term from t) x on x.doc_id = documents.doc_id and x.term = lead group by 1""")
 def name_coverage(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    t = tokens.tokenized(docs, "text", ["doc_id"], stem=False)
+    t = tokens.term_counts(_texts(spark, sf_dir))
     leads = naming.top_terms(_scores(spark, sf_dir).where("not contains(term, ' ')"), 1).select("cluster", F.col("term").alias("lead"))
     out = naming.name_coverage(docs.select("doc_id", F.col("lang").alias("cluster")), t, leads)
     return out.withColumn("coverage", F.round("coverage", 6))
@@ -484,8 +501,7 @@ def label_jaccard(spark, sf_dir) -> DataFrame:
 
 @query()
 def names(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    t = tokens.tokenized(docs, "text", ["doc_id"], stem=False)
+    t = tokens.tokenized(_texts(spark, sf_dir), "text", ["doc_id"], stem=False)
     surfaces = naming.modal(t.select("term", "surface"), "term", "surface").select("term", "surface")
     cased = naming.distinctive_casing(t.select(F.lower("raw").alias("word"), F.col("raw").alias("written")))
     return spark.createDataFrame(naming.labels(_scores(spark, sf_dir), surfaces, cased), "cluster string, name string, terms array<string>, scores array<double>, lead string, description string")

@@ -131,3 +131,28 @@ def test_opening_passes_over_badges_and_setup():
 def test_setext_headings_and_tables():
     md = "Title\n=====\n\n| a | b |\n|---|---|\n\nWords here.\n\nUsage\n-----\n\nnever shown\n"
     assert opening(md) == "Title Words here."
+
+
+def test_long_words_are_read_once(spark):
+    import time
+
+    texts = ["a" * 1_000_000, "x://" + "b" * 1_000_000, "[" * 100_000, "bB" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4).cache()
+    df.count()
+    df.limit(1).select(tokens.words(F.col("text"))).collect()
+    began = time.time()
+    n = dict(df.select("doc_id", F.size(tokens.words(F.col("text")))).collect())
+    assert time.time() - began < 5 and n == {0: 1, 1: 0, 2: 0, 3: 50_000 + 1}
+
+
+def test_guarded_replacements(spark):
+    cases = {
+        "see http://a.example/b?c=(d) now": "see   now",
+        "foo-http://a www.b.example end": "    end",
+        "x:// ://y a://b": "x:// ://y  ",
+        "[words](link) and ![gone](img) [kept]": " words  and   [kept]",
+        "<b>bold</b> 1 < 2 > 0": " bold  1 < 2 > 0",
+        "C++ c# F#, .NET Node.js c+++ .network": "cpp csharp fsharp, dotnet nodejs cpp+ .network",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r["s"]: r["c"] for r in df.select("s", X.clean(F.col("s")).alias("c")).collect()} == cases
