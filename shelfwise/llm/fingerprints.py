@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import with_row_numbers
+from .tables import Scratch, named, ranges_for, with_row_numbers
 
 BIN_BITS, BITS, SHINGLE = 7, 8, 5
 BINS = 1 << BIN_BITS
-BUCKET_ROWS, MAX_BUCKETS = 512, 4096
+BUCKET_ROWS, BUCKETS_A_TASK = 512, 4
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -57,46 +57,52 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """Rows (id, fingerprint, fingerprint_bins) of all documents."""
-    return with_fingerprint(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "text", "fingerprint", k).drop("text")
+    return with_fingerprint(docs.select(named(id_col), named(text_col).cast("string").alias("text")), "text", "fingerprint", k).drop("text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """Fingerprints of each text, its edited text and the next document's, and likenesses.
 
-    Next is by descending id (null ids last, repeated ids by text), and the first after the
-    last. Documents are cut into buckets of ids, at most MAX_BUCKETS, at exact ranks; the
-    first rows of a bucket are copied to the end of the bucket before it, so that each
-    bucket is a window of its own and no global order is needed. Texts are shuffled once.
+    Next is by descending id (null ids last, rows of one id by descending hash of the text),
+    and the first after the last. Documents are cut into buckets at exact ranks of (id, hash),
+    some for each shuffle partition; the first row of a bucket is copied to the end of the
+    bucket before it, so that each bucket is a window of its own and no global order is needed.
+    Texts are shuffled once. Only rows equal in id and text can not be cut apart.
     """
-    order = F.col(id_col).asc_nulls_first()
-    ranked, n = with_row_numbers(docs.select(id_col), "rank_at", [order])
-    rows = max(BUCKET_ROWS, -(-n // MAX_BUCKETS))
-    # at most MAX_BUCKETS values
-    cuts = sorted({r[0] for r in ranked.where((F.col("rank_at") % rows == 0) & (F.col("rank_at") > 0)).select(id_col).collect() if r[0] is not None})
-    least = ranked.agg(F.min(id_col)).head()[0]
-    cuts = [c for c in cuts if c != least]
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def listed(values) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-    bucket = F.size(F.filter(listed(cuts), lambda c: c <= F.col(id_col))) if cuts else F.lit(0)
-    tops = dict(ranked.groupBy(bucket.alias("b")).agg(F.max(id_col)).collect())
-    firsts = listed([tops.get(b) for b in range(len(cuts) + 1)])
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket)
-    is_first = F.col(id_col).eqNullSafe(F.element_at(firsts, F.col("bucket") + 1))
+    key = F.struct(named(id_col).alias("id"), F.xxhash64(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias("h"))
+    keys = docs.select(key.alias("key"))
+    with Scratch():
+        ranked, n = with_row_numbers(keys, "rank_at", [F.col("key").asc()])
+        rows = max(BUCKET_ROWS, -(-n // (BUCKETS_A_TASK * ranges_for(docs.sparkSession))))
+        # as many values as buckets
+        cuts = sorted({(r["id"], r["h"]) for r in ranked.where((F.col("rank_at") % rows == 0) & (F.col("rank_at") > 0)).select("key.*").collect() if r["id"] is not None})
+        least = ranked.agg(F.min("key")).head()[0]
+        cuts = [c for c in cuts if c != (least["id"], least["h"])]
+        kind = keys.schema["key"].dataType.simpleString()
+
+        def listed(values) -> Column:
+            return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(h).cast("long").alias("h")) for i, h in values]).cast(f"array<{kind}>")
+
+        def bucket_of(k: Column) -> Column:
+            return F.size(F.filter(listed(cuts), lambda c: c <= k)) if cuts else F.lit(0)
+
+        tops = dict(ranked.groupBy(bucket_of(F.col("key")).alias("b")).agg(F.max("key")).collect())
+    firsts = [(tops[b]["id"], tops[b]["h"]) for b in range(len(cuts) + 1)] if tops else [(None, 0)]
+    base = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    base = base.withColumn("bucket", bucket_of(F.col("key")))
+    is_first = F.col("key").eqNullSafe(F.element_at(listed(firsts), F.col("bucket") + 1))
     to = F.when(is_first, F.array(F.col("bucket"), (F.col("bucket") + 1) % (len(cuts) + 1))).otherwise(F.array("bucket"))
-    placed = base.select(id_col, "text", F.posexplode(to).alias("copy", "bucket"))
-    w = Window.partitionBy("bucket").orderBy("copy", F.col(id_col).desc_nulls_last(), "text")
+    placed = base.select("key", "text", F.posexplode(to).alias("copy", "bucket"))
+    w = Window.partitionBy("bucket").orderBy("copy", F.col("key").desc())
     n_chars = F.length("text")
-    out = placed.select(id_col, "bucket", "copy", "text", F.lead("text").over(w).alias("next_text"))
+    out = placed.select("key", "bucket", "copy", "text", F.lead("text").over(w).alias("next_text"))
     out = out.withColumn("n_chars", n_chars.cast("long"))
     out = out.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 2 as int))"))).drop("next_text")
     out = with_fingerprint(out, "text", "fingerprint", k)
     out = out.withColumn("next_bins", F.lead("fingerprint_bins").over(w))
     out = with_fingerprint(out.where("copy = 0"), "edited", "edited_fingerprint", k)
     return out.select(
-        id_col,
+        F.col("key.id").alias(id_col),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",

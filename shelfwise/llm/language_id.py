@@ -4,9 +4,9 @@ Texts become hashed counts of 1 to 3 byte grams of their letters, damped, weight
 document frequency and normalised. Each language has several centroids, found by spherical
 k-means on a bounded sample; the nearest one by cosine decides, and a text further away from
 it than almost all labelled ones of its language is rejected. Document frequencies are counted over all
-learnable documents; the sample (about `SAMPLE` rows by a hash of the id, three quarters of
-them dealt evenly to languages and a quarter by their rows) only places the centroids and the
-limits of rejection. The `SAMPLE` most frequent languages take part, with a warning if there
+learnable documents; the sample (about `SAMPLE` distinct texts by their hash, three quarters
+of them dealt evenly to languages and a quarter by their rows) only places the centroids and
+the limits of rejection. The `SAMPLE` most frequent languages take part, with a warning if there
 are more; a rarer one gets no centroid. What is broadcast has a fixed size for each language.
 """
 
@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import others, stash
+from .tables import Scratch, named, others, shape_of, stash, text_rows
 from .words import slices, utf8
 
 DIMS = 4096
@@ -34,6 +34,7 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 SLICE = 1 << 19
 FOLDS = 4
+HASHES = 1 << 30
 CALIBRATED = 10  # rows that a language needs for a limit of its own
 
 
@@ -152,15 +153,16 @@ class Model:
         return [self.langs[a] for a in at.tolist()], np.clip(best, 0.0, 1.0), best < self.floors[at]
 
 
-def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model | None:
+def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model | None:
     """Learn from rows where `learnable` holds and language and text are not null.
 
-    All rows of the sample place the centroids; floors come from cosines of the sample's folds
-    (by a hash of the text) to centroids learned without them.
+    All texts of the sample place the centroids; floors come from cosines of the sample's folds
+    (by a hash of the text) to centroids learned without them. A text counts once in the sample
+    for each language, however often it is repeated; ids and other columns are not read.
     None without a usable row.
     """
-    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    base = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = docs.where(learnable & named(lang_col).isNotNull() & named(text_col).isNotNull())
+    base = rows.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
     df = dict(base.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect())  # DIMS + 1 rows
     total = df.pop(-1, 0)
     if not total:
@@ -171,9 +173,15 @@ def fit(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: st
         warnings.warn(f"only the {sample} most frequent languages get centroids", stacklevel=2)
         per = per[:sample]
     even, spare = max(1.0, 0.75 * sample / len(per)), 0.25 * sample / total
-    share = docs.sparkSession.createDataFrame([(r["lang"], (1 << 30) * (even / r["n"] + spare)) for r in per], "lang string, below double")
-    chosen = base.join(F.broadcast(share), "lang").where("h < below").limit(sample + sample // 2)
-    got = stash(chosen.select("lang", "fold", "text").mapInArrow(_vectors, "lang string, fold int, counts binary")).orderBy("lang", "counts").toArrow()
+    # the texts of least hash of each language: a threshold that surely leaves enough, then ranks
+    quota = [even + spare * r["n"] for r in per]
+    share = docs.sparkSession.createDataFrame([(r["lang"], HASHES * (2 * q + 16) / r["n"], -int(-q // 1)) for r, q in zip(per, quota, strict=True)], "lang string, below double, most int")
+    hashed = base.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(HASHES)))
+    near = hashed.join(F.broadcast(share), "lang").where("h < below").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = near.withColumn("place", place).where("place <= most").withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    with Scratch():
+        got = stash(chosen.select("lang", "fold", "text").mapInArrow(_vectors, "lang string, fold int, counts binary")).orderBy("lang", "counts").toArrow()
     lang, fold = np.array(got.column("lang").to_pylist()), np.array(got.column("fold").to_pylist(), int)
     if not len(lang):
         raise ValueError("no labelled row was chosen for the sample")
@@ -204,11 +212,12 @@ def has_letter(part: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(model, names: list[str], carry: list[str]):
+def _predict(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for lo, hi, part, own in _sliced(batch.column("__text")):
+            *carried, texts = batch.columns
+            for lo, hi, part, own in _sliced(texts):
                 letter = has_letter(part, own)
                 if m is None:
                     lang, score, out = ["und"] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
@@ -216,7 +225,7 @@ def _predict(model, names: list[str], carry: list[str]):
                     lang, score, out = m.predict(gram_counts(part, own))
                     lang = [x if ok else "und" for x, ok in zip(lang, letter.tolist(), strict=True)]
                     score, out = np.where(letter, score, 0.0).astype(float), out | ~letter
-                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in carry), pa.array(lang), pa.array(score), pa.array(out)], names=names)
+                yield pa.record_batch([*(c.slice(lo, hi - lo) for c in carried), pa.array(lang), pa.array(score), pa.array(out)], names=names)
 
     return run
 
@@ -225,14 +234,13 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", nam
     """The columns `carry` (default: all but the text and namesakes) and language, cosine and rejection.
 
     Null texts and texts without a letter are `und`, with score 0, and rejected; so are all
-    without a model. Equal texts get equal answers; no other column is looked at.
+    without a model. Equal texts get equal answers; no other column is looked at, and they
+    may have any name.
     """
     carry = others(docs, text_col, *names) if carry is None else carry
-    base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
-    lang, score, out = names
+    shape = shape_of(docs, carry, dict(zip(names, ("string", "double", "boolean"), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.mapInArrow(_predict(shared, [*carry, *names], carry), ", ".join([*fields, f"`{lang}` string, `{score}` double, `{out}` boolean"]))
+    return text_rows(docs, text_col, carry).mapInArrow(_predict(shared, shape.names), shape)
 
 
 def rejection(model: Model | None, spark=None):

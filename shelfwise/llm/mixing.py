@@ -7,16 +7,18 @@ one of them is whole, so a source's words never move. Rows are dealt to (source,
 groups by a hash; each group leaves at most one fractional document, and these meet in a
 reduction tree of fan-in `FAN_IN` until one is left per source, which goes to the nearer
 side, so that a source misses its target by half a document at most.
-Random numbers are hashes of the row, so reruns agree whatever the partitioning.
+Rows equal in id, source, size and text are one document of the rounding, however many they
+are, and share its copies as evenly as can be. Random numbers are hashes of the row, so
+reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import fresh, ranges_for, release, stash, with_row_numbers
+from .tables import Scratch, fresh, named, ranges_for, stash, with_row_numbers
 
 CHUNK_ROWS = 1 << 13
 FAN_IN = 64
@@ -111,66 +113,114 @@ def _batch(rows, names, schema):
     return pa.record_batch([pa.array(list(c), schema.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=schema)
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, copies) from (doc_id, source, size).
+_PARTS = ("doc_id", "source", "size", "digest")
 
-    A document is taken floor(r) or ceil(r) times, r being its source's target by its size;
-    documents of size 0 are taken floor(r) times. Null sources are one source, the last.
+
+def _key(parts) -> list:
+    """128 bits by which equal documents are known; nulls are equal."""
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(97), *parts)]
+
+
+def _allotted(rows: DataFrame, keys: list[str], totals: DataFrame, rows_col: str, total_col: str, name: str) -> DataFrame:
+    """`rows` with `name`: the share of each in its key's total, which differ by one at most.
+
+    Rows of one key are alike. Those of keys met once take the total; the others are written,
+    numbered by part and by the parts' counts, so no task sees all rows of a key.
     """
+    joined = rows.join(totals, keys)
+    once = joined.where(F.col(rows_col) == 1).withColumn(name, F.col(total_col))
+    if not totals.where(F.col(rows_col) > 1).limit(1).count():
+        return once
+    mark, part, at, size, before = fresh(once, "mark", "part", "at", "size", "before")
+    some = stash(joined.where(F.col(rows_col) > 1).withColumn(mark, F.monotonically_increasing_id())).withColumn(part, F.shiftright(mark, 33))
+    per = some.groupBy(*keys, part).agg(F.count("*").alias(size))
+    lows = per.withColumn(before, F.sum(size).over(Window.partitionBy(*keys).orderBy(part)) - F.col(size)).drop(size)
+    numbered = some.withColumn(at, F.row_number().over(Window.partitionBy(*keys, part).orderBy(mark))).join(lows, [*keys, part])
+    number, m, total = F.col(before) + F.col(at) - 1, named(rows_col), named(total_col)
+    share = F.floor(total / m) + F.when(number < total % m, 1).otherwise(0)
+    return once.unionByName(numbered.withColumn(name, share).select(*map(named, once.columns)))
+
+
+def totals(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """Rows (doc_id, source, size[, digest], n, source_size, target, total): equal rows in one, stashed."""
     spark = sizes.sparkSession
-    goal = stash(targets(sizes, weights, total, cap))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "source_size", "target", ratio.alias("ratio"))
-    base = F.floor(F.col("ratio") + 1e-12)
-    n = sizes.count()
-    chunks = max(1, -(-n // CHUNK_ROWS))
-    h = F.xxhash64("doc_id", "size", F.lit(seed))
-    now = rows.select(
-        "doc_id", "source", "size", "source_size", "target",
-        base.cast("long").alias("base"),
-        F.greatest(F.col("ratio") - base, F.lit(0.0)).cast("double").alias("fraction"),
-        F.pmod(h, F.lit(chunks)).cast("long").alias("chunk"),
-        (F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)).alias("draw"),
-    )
-    shape = now.schema
-    done, scratch = [], []
-    while True:
-        last = chunks == 1
-        dealt = now.repartition(ranges_for(spark), "source", "chunk").sortWithinPartitions("source", "chunk", "doc_id", "size")
-        out = stash(dealt.mapInArrow(_pivot(last), shape))
-        done.append(out.where("fraction in (0, 1)"))
-        if last:
-            break
-        chunks = -(-chunks // FAN_IN)
-        now = out.where("fraction not in (0, 1)").withColumn("chunk", F.expr(f"chunk div {FAN_IN}"))
-        # a fresh draw for each level of the tree
-        now = now.withColumn("draw", F.pmod(F.xxhash64("doc_id", "size", "chunk", F.lit(seed + 2 + len(done))), F.lit(1 << 52)) / float(1 << 52))
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
-    return whole.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("fraction")).cast("long").alias("copies"))
+    parts = [c for c in _PARTS if c in sizes.columns]
+    with Scratch() as own:
+        goal = stash(targets(sizes, weights, total, cap))
+        same = sizes.groupBy(*parts).agg(F.count("*").alias("n"))
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("n")
+        rows = same.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "source_size", "target", ratio.alias("ratio"))
+        base = F.floor(F.col("ratio") + 1e-12)
+        chunks = max(1, -(-sizes.count() // CHUNK_ROWS))
+
+        def draw(*more):
+            return F.pmod(F.xxhash64(*parts, *more), F.lit(1 << 52)) / float(1 << 52)
+
+        now = rows.select(
+            *parts, "n", "source_size", "target",
+            base.cast("long").alias("base"),
+            F.greatest(F.col("ratio") - base, F.lit(0.0)).cast("double").alias("fraction"),
+            F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(chunks)).cast("long").alias("chunk"),
+            draw(F.lit(seed + 1)).alias("draw"),
+        )
+        shape, done = now.schema, []
+        while True:
+            last = chunks == 1
+            dealt = now.repartition(ranges_for(spark), "source", "chunk").sortWithinPartitions("source", "chunk", *parts)
+            out = stash(dealt.mapInArrow(_pivot(last), shape))
+            done.append(out.where("fraction in (0, 1)"))
+            if last:
+                break
+            chunks = -(-chunks // FAN_IN)
+            now = out.where("fraction not in (0, 1)").withColumn("chunk", F.expr(f"chunk div {FAN_IN}"))
+            # a fresh draw for each level of the tree
+            now = now.withColumn("draw", draw("chunk", F.lit(seed + 2 + len(done))))
+        whole = done[0]
+        for more in done[1:]:
+            whole = whole.unionByName(more)
+        found = stash(whole.select(*parts, "n", "source_size", "target", (F.col("base") + F.col("fraction")).cast("long").alias("total")))
+        own.keep(found)
+    return found
+
+
+def mix(sizes: DataFrame, **options) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, copies) for those of (doc_id, source, size[, digest]).
+
+    A document is taken floor(r) or ceil(r) times, r being its source's target by its size;
+    documents of size 0 are taken floor(r) times. Null sources are one source, the last; null
+    ids are an id. Equal rows share their copies.
+    """
+    parts = [c for c in _PARTS if c in sizes.columns]
+    found = totals(sizes, **options)
+    k1, k2 = _key(parts)
+    keyed = found.select(k1.alias("k1"), k2.alias("k2"), "n", "total", "source_size", "target")
+    out = _allotted(sizes.withColumn("k1", k1).withColumn("k2", k2), ["k1", "k2"], keyed, "n", "total", "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+
+
+def _described(id_col: str, text_col: str, source_col: str) -> list:
+    """Id, source, size and digest of a document as columns."""
+    text = named(text_col).cast("string")
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return [named(id_col), named(source_col), words, F.xxhash64(text)]
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows (doc_id, source, size): words of the whole text, 0 for null; stashed."""
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size")))
+    """Rows (doc_id, source, size, digest): words of the whole text, 0 for null; stashed."""
+    return stash(docs.select(*(c.alias(n) for c, n in zip(_described(id_col, text_col, source_col), _PARTS, strict=True))))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with all their columns."""
-    sizes = document_sizes(docs, id_col, text_col, source_col)
-    copies = mix(sizes, **options).where("copies > 0")
-    n, key, k, times = fresh(docs, "copies", "key_id", "key_at", "times")
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = copies.select(F.xxhash64("doc_id", "source", "size").alias(key), F.col("copies").alias(n))
-    taken = keyed.groupBy(key).agg(F.sort_array(F.collect_list(n)).alias(times))
-    left = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(source_col), words))
-    if sizes.groupBy("doc_id", "source", "size").count().where("count > 1").limit(1).count():
-        from pyspark.sql import Window
-
-        left = left.withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    else:
-        left = left.withColumn(k, F.lit(1))
-    joined = left.join(taken, key).where(F.col(k) <= F.size(times))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.element_at(times, F.col(k)).cast("int")))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken, with all their columns, whatever their names.
+
+    Of rows equal in id, source and text but not in other columns any may be taken more often.
+    """
+    with Scratch() as own:
+        found = totals(document_sizes(docs, id_col, text_col, source_col), **options)
+        own.keep(found)
+    n, total, copies, a, b, each = fresh(docs, "n", "total", "copies", "key_a", "key_b", "copy")
+    k1, k2 = _key(_PARTS)
+    keyed = found.select(k1.alias(a), k2.alias(b), F.col("n").alias(n), F.col("total").alias(total))
+    k1, k2 = _key(_described(id_col, text_col, source_col))
+    out = _allotted(docs.withColumn(a, k1).withColumn(b, k2), [a, b], keyed.where(F.col(total) > 0), n, total, copies)
+    return out.where(F.col(copies) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*map(named, docs.columns))

@@ -5,6 +5,8 @@ of a bounded number of rows, each packed by best-fit decreasing. Dual feasible f
 give a lower bound of each partition's bins; where the packing meets it, it is final.
 Elsewhere the pieces of bins that are not full are released, dealt anew among fewer
 partitions, and packed again, until no gap is left or one partition holds what remains.
+At most FINAL_ROWS pieces meet in one task, so where more are left over than that, a few
+partitions stay, each packed by itself and perhaps with a bin more than its bound.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
-from .tables import stash
+from .tables import named, stash
 
 CAPACITY = 1024
 END_ID = 2
@@ -54,7 +56,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool, names: list[str]
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids], pid), stashed; null text is empty."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in shape.split(", ")]
@@ -147,8 +149,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
-    Each row of the input is a document of its own, repeated rows too; a null text or an
-    empty one is the end id alone. An empty table gives no rows.
+    Each row of the input is a document of its own, repeated rows too, and null ids are ids;
+    a null text or an empty one is the end id alone. An empty table gives no rows. Other
+    columns are not read.
     """
     cut = pieces(docs, tokenizer_path, capacity, end_id, with_ids, id_col, text_col)
     payload = ["ids"] if with_ids else []

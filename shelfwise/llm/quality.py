@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import others, stash
+from .tables import named, others, shape_of, stash, text_rows
 from .words import SPACE, Prefix, distinct_sets, mix, shingle_hashes, slices, utf8, word_hashes, word_spans
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines", "n_bytes")
@@ -97,11 +97,12 @@ def text_stats(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray
         yield i, j, out
 
 
-def _stats_of(names: list[str], carry: list[str]):
+def _stats_of(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, stats in text_stats(batch.column("__text")):
-                yield pa.record_batch([batch.column(c).slice(i, j - i) for c in carry] + [pa.array(stats[s].astype(np.int64)) for s in STATS], names=names)
+            *carried, texts = batch.columns
+            for i, j, stats in text_stats(texts):
+                yield pa.record_batch([c.slice(i, j - i) for c in carried] + [pa.array(stats[s].astype(np.int64)) for s in STATS], names=names)
 
     return run
 
@@ -109,12 +110,12 @@ def _stats_of(names: list[str], carry: list[str]):
 def with_stats(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (default: all but the text and namesakes) and the statistics STATS, for every row.
 
-    Null and empty texts, and texts of white space, have 0 in every count.
+    Null and empty texts, and texts of white space, have 0 in every count. Each row counts by
+    itself, repeated rows alike; other columns may have any name.
     """
     carry = others(docs, text_col, *STATS) if carry is None else carry
-    base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
-    return base.mapInArrow(_stats_of([*carry, *STATS], carry), ", ".join([*fields, *(f"{s} long" for s in STATS)]))
+    shape = shape_of(docs, carry, dict.fromkeys(STATS, "long"))
+    return text_rows(docs, text_col, carry).mapInArrow(_stats_of(shape.names), shape)
 
 
 Rule = list[tuple[str, str, float]]  # a conjunction of (feature, "<=" or ">=", threshold)
@@ -184,14 +185,33 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precision
     return rules
 
 
+SPACE_OF_HASHES = 1 << 30
+
+
 def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, label: str = "quality") -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """(features, bad, fold) of at most `most` labelled rows, chosen by a hash of the id."""
-    named = stats.selectExpr("doc_id", *(f"cast({e} as double) as `{f}`" for f, e in FEATURES.items()))
-    rows = named.join(labels.select("doc_id", F.col(label).alias("__label")).where(F.col(label).isNotNull()), "doc_id")
-    pdf = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    """(features, bad, fold) of the `most` labelled rows of least hash of the id, or all if fewer.
+
+    Rows equal in id, features and label count once. Both sides are cut by a threshold of the
+    hash, set from the number of labels, before they meet; it is doubled at least while it
+    leaves too few. So the join and what reaches the driver stay near `most` rows.
+    """
+    named_stats = stats.selectExpr("doc_id", *(f"cast({e} as double) as `{f}`" for f, e in FEATURES.items()))
+    known = labels.select("doc_id", named(label).alias("is_good")).where("doc_id is not null and is_good is not null")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(SPACE_OF_HASHES))
+    total, below = known.count(), SPACE_OF_HASHES
+    if total > most:
+        below = int(SPACE_OF_HASHES * 1.1 * most / total) + 1
+    while True:
+        near = h < min(below, SPACE_OF_HASHES)
+        rows = named_stats.where(near).join(known.where(near), "doc_id").distinct()
+        n = rows.count() if below < SPACE_OF_HASHES else most
+        if n >= most:
+            break
+        below = int(below * max(2.0, 1.1 * most / max(n, 1)))
+    pdf = rows.orderBy(h, "doc_id", *FEATURES, "is_good").limit(most).toPandas()
     x = {f: pdf[f].to_numpy(float) for f in FEATURES}
     fold = np.array([crc32(str(d).encode()) % 3 for d in pdf["doc_id"]], int)
-    return x, pdf["__label"].to_numpy(int) == 0, fold
+    return x, pdf["is_good"].to_numpy(int) == 0, fold
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -212,7 +232,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without usable labels no rule is learned and only the base test decides. Rows with null
     ids are judged, but never learned from; repeated rows are judged alike.
     """
-    stats = stash(with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    stats = stash(with_stats(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))))
     x, bad, fold = labelled_sample(stats, labels, most, label)
     rules = learn(x, bad, fold) if len(bad) else []
     failed = F.expr(BASE_FAILED)

@@ -15,7 +15,7 @@ from math import isqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh, with_row_numbers
+from .tables import fresh, named, with_row_numbers
 
 ROUNDS = 6
 WALK = 64
@@ -50,10 +50,10 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 2024, id_col: st
     rows get numbers of their own, an empty table gives an empty result; other columns of
     the input are not read. grown_shard is null: this law moves rows when a shard is added.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    (number,) = fresh(docs.select(id_col), "row_number")
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    (number,) = fresh(docs.select(named(id_col)), "row_number")
     base = docs.select(
-        F.col(id_col),
+        named(id_col),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_SCOPE: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (tests, a single machine) a folder of our own is set.
+    Only where that is unset on a single machine (tests) a folder of our own is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -22,11 +25,39 @@ def scratch_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="shelfwise-")
     spark.sparkContext.setCheckpointDir(own)
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+class Scratch:
+    """Tables stashed inside a `with` block are deleted at its end, but for those kept.
+
+    Kept ones belong to the block around, if there is one: what a query returns may still be
+    read from them.
+    """
+
+    def __enter__(self) -> Scratch:
+        self.frames: list[DataFrame] = []
+        self.outer = _SCOPE.get()
+        self.token = _SCOPE.set(self)
+        return self
+
+    def keep(self, *frames: DataFrame) -> None:
+        paths = {getattr(f, "_stash_path", None) for f in frames}
+        for f in [f for f in self.frames if f._stash_path in paths]:
+            self.frames.remove(f)
+            if self.outer is not None:
+                self.outer.frames.append(f)
+
+    def __exit__(self, *_) -> None:
+        _SCOPE.reset(self.token)
+        release(*self.frames)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
@@ -38,6 +69,8 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    if (scope := _SCOPE.get()) is not None:
+        scope.frames.append(out)
     return out
 
 
@@ -53,22 +86,43 @@ def release(*frames: DataFrame) -> None:
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like `wanted` that clash with no column of `df`, whatever its case."""
-    taken = {c.lower() for c in df.columns}
+    return free_names(df.columns, *wanted)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    used = {c.lower() for c in taken}
     out = []
     for name in wanted:
-        while name.lower() in taken:
+        while name.lower() in used:
             name = f"_{name}"
-        taken.add(name.lower())
+        used.add(name.lower())
         out.append(name)
     return out
 
 
+def named(column: str) -> Column:
+    """The top-level column of exactly this name: dots and backticks are part of it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def others(df: DataFrame, text_col: str, *results: str) -> list[str]:
     """Columns to carry beside a text: all but it and those named like a result."""
     taken = {text_col.lower(), *(r.lower() for r in results)}
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def text_rows(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns `carry`, whatever their names, and as the last one the text as a string."""
+    (text,) = free_names(carry, "text")
+    return docs.select(*map(named, carry), named(text_col).cast("string").alias(text))
+
+
+def shape_of(docs: DataFrame, carry: list[str], more: dict[str, str]) -> T.StructType:
+    """The schema of the columns `carry` and of further ones: type by name, whatever the names."""
+    further = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in more.items()]
+    return T.StructType([docs.schema[c] for c in carry] + further)
+
+
 def ranges_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -81,23 +135,19 @@ def with_row_numbers(df: DataFrame, name: str, order: list[Column]) -> tuple[Dat
     are written before they are counted, hence both passes see the same ones. Rows equal
     in all of `order` may swap numbers.
     """
-    spark = df.sparkSession
-    mark, part, start = fresh(df, "mark", "part", "start")
+    mark, part, start, size = fresh(df, "mark", "part", "start", "size")
     ranged = stash(
-        df.repartitionByRange(ranges_for(spark), *order)
+        df.repartitionByRange(ranges_for(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn(mark, F.monotonically_increasing_id())
     ).withColumn(part, F.shiftright(mark, 33))
-    counts = ranged.groupBy(part).agg(F.count("*").alias(start))
     # one row a partition: as many as spark.sql.shuffle.partitions
-    sizes = sorted((r[0], r[1]) for r in counts.collect())
-    starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    starts_df = spark.createDataFrame(starts, T.StructType([T.StructField(part, T.LongType()), T.StructField(start, T.LongType())]))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(size))
+    before = F.sum(size).over(Window.orderBy(part))
+    starts = stash(sizes.select(part, (before - F.col(size)).alias(start), F.col(size)))
+    total = starts.agg(F.sum(size)).head()[0] or 0
     within = F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(starts_df), part).withColumn(name, F.col(start) + within).drop(mark, part, start), total
+    return ranged.join(F.broadcast(starts.drop(size)), part).withColumn(name, F.col(start) + within).drop(mark, part, start), total
 
 
 def _contract(batches):
@@ -121,13 +171,14 @@ def _contract(batches):
         yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges(u, v)` (long): rows (node, component = least node).
 
     Alternating large-star and small-star rounds: each round is two minimum aggregations
     and two equi-joins, whatever the degree of a node, and lineage is cut after each.
     Before a round every partition turns its own edges into stars, which makes long chains
-    short; its memory is bounded by the partition's edges.
+    short; its memory is bounded by the partition's edges. Nodes' labels only ever fall, so
+    the rounds end; their number grows with the logarithm of the longest chain.
     """
 
     def contracted(df: DataFrame) -> DataFrame:
@@ -140,7 +191,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return r[0], r[1]
 
     seen = state(now)
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -148,15 +199,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        merged = stash(small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-        after = stash(contracted(merged).distinct())
-        release(now, merged)
+        with Scratch() as own:
+            merged = stash(small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+            after = stash(contracted(merged).distinct())
+            own.keep(after)
+        release(now)
         now, before = after, seen
         seen = state(now)
         if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

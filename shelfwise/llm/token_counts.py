@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import others
+from .tables import others, shape_of, text_rows
 
 MAX_KNOWN = 400_000
 MARK = "▁"
@@ -58,12 +58,15 @@ class Counter:
         n = len(s)
         best, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         set_to = [False] * (n + 1)
-        pending = {}
-        for end, hit in self.auto.iter(s):
-            pending.setdefault(end + 1, []).append(hit)
+        hits = self.auto.iter(s)
+        ahead = next(hits, None)
         for e in range(1, n + 1):
             # longest first, that is in the order of their starts; ties keep the first
-            for length, score in sorted(pending.get(e, ()), reverse=True):
+            here = []
+            while ahead is not None and ahead[0] + 1 == e:
+                here.append(ahead[1])
+                ahead = next(hits, None)
+            for length, score in sorted(here, reverse=True):
                 b = e - length
                 total = score + best[b]
                 if not set_to[e] or total > best[e]:
@@ -111,13 +114,13 @@ def _counter(path: str) -> Counter:
     return Counter(*read_vocabulary(path))
 
 
-def _count(path: str, names: list[str], carry: list[str]):
+def _count(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            texts = batch.column("__text")
+            *carried, texts = batch.columns
             n = [0 if (t := x.as_py()) is None else counter.text(t) for x in texts]
-            yield pa.record_batch([*(batch.column(c) for c in carry), pa.array(n, pa.int64())], names=names)
+            yield pa.record_batch([*carried, pa.array(n, pa.int64())], names=names)
 
     return run
 
@@ -125,10 +128,10 @@ def _count(path: str, names: list[str], carry: list[str]):
 def with_token_counts(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "n_tokens", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (default: all but the text and a namesake) and the token count of the whole text.
 
-    Null and empty texts have 0 tokens. The vocabulary file must be readable at the same
-    path on every machine, as a part of the installed environment.
+    Null and empty texts have 0 tokens; each row counts by itself, repeated rows alike; other
+    columns may have any name. The vocabulary file must be readable at the same path on every
+    machine, as a part of the installed environment.
     """
     carry = others(docs, text_col, name) if carry is None else carry
-    base = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
-    return base.mapInArrow(_count(model_path, [*carry, name], carry), ", ".join([*fields, f"`{name}` long"]))
+    shape = shape_of(docs, carry, {name: "long"})
+    return text_rows(docs, text_col, carry).mapInArrow(_count(model_path, shape.names), shape)
