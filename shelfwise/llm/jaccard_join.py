@@ -23,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import components, fresh, ranges_for, release, stash
+from .tables import Scratch, components, fresh, named, ranges_for, stash
 from .words import text_shingles
 
 BUCKETS = 1 << 20
 BITS = 1 << 24
 BLOCK = 1536
+WEIGHT = 1 << 20  # shingles of a block
 HOT = 1 << 14  # classes in a column beyond which its rows are salted
 SHARED = 4
 SMALL = 32  # classes in a column whose pairs are counted one by one
@@ -78,21 +79,23 @@ def _describe(k: int, lower: bool):
     return run
 
 
-def _prints(column, k: int, lower: bool):
+def _prints(column, k: int, lower: bool, twins: dict | None = None):
     from .words import set_prints
 
     for i, j, sets, at in text_shingles(column, k, lower):
         k1, k2 = set_prints(sets, at)
+        if twins:
+            k1 = np.array([twins.get(key, key[0]) for key in zip(k1.tolist(), k2.tolist(), strict=True)], np.int64)
         yield i, j, sets, at, k1, k2
 
 
-def _prefixes(k: int, lower: bool, percent: int, counts):
+def _prefixes(k: int, lower: bool, percent: int, counts, twins: dict):
     """Rows (col, salt, k1, n, pos): the prefix columns of each class met in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
         for batch in batches:
-            for _, _, sets, at, k1, _ in _prints(batch.column("text"), k, lower):
+            for _, _, sets, at, k1, _ in _prints(batch.column("text"), k, lower, twins):
                 freq = table[(sets >> np.uint64(24)) % np.uint64(BUCKETS)]
                 key = (freq.astype(np.uint64) << np.uint64(_FREQ_SHIFT)) | (sets >> np.uint64(64 - _FREQ_SHIFT))
                 n = np.diff(at)
@@ -189,13 +192,13 @@ def _small_pairs(percent: int):
     return run
 
 
-def _active_sets(k: int, lower: bool, bits):
+def _active_sets(k: int, lower: bool, bits, twins: dict):
     """Shingle sets of the classes whose bit is set: (k1, k2, n, shingles as bytes)."""
 
     def run(batches):
         mask, seen = bits.value, set()
         for batch in batches:
-            for _, _, sets, at, k1, k2 in _prints(batch.column("text"), k, lower):
+            for _, _, sets, at, k1, k2 in _prints(batch.column("text"), k, lower, twins):
                 b = k1.view(np.uint64) % np.uint64(BITS)
                 hit = (mask[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
                 rows = []
@@ -209,8 +212,39 @@ def _active_sets(k: int, lower: bool, bits):
     return run
 
 
-def _products(percent: int, spanning: bool):
-    """Links (a, b) of the classes of each (component, cell)."""
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets i and j, pair by pair.
+
+    Few pairs are searched one by one; for many the incidence matrix of the shingles that two
+    sets hold is multiplied with its transpose, a slice of columns at a time.
+    """
+    if len(i) < 8 * len(sets):
+        out = np.zeros(len(i), np.int64)
+        for at, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            x, y = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
+            to = np.searchsorted(y, x)
+            out[at] = int((y[np.minimum(to, len(y) - 1)] == x).sum())
+        return out
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    col = np.concatenate(sets)
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    edge = np.concatenate([[True], col[1:] != col[:-1]])
+    shared = np.bincount(np.cumsum(edge) - 1)
+    keep = np.repeat(shared > 1, shared)
+    row, number = row[keep], np.repeat(np.arange(int((shared > 1).sum())), shared[shared > 1])
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        a, z = np.searchsorted(number, [lo, lo + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[a:z], number[a:z] - lo] = 1
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
+
+
+def _products(percent: int, spanning: bool, counting: bool):
+    """Of the classes of each (component, lo, hi): rows (a, b, n) with links (a, b), n null, and
+    with `counting` the number n of links of each class a, b null."""
 
     def links(rows):
         if len(rows) < 2:
@@ -245,7 +279,18 @@ def _products(percent: int, spanning: bool):
                 ok &= block[x] != block[y]
             i, j = np.nonzero(ok)
             found.append(np.stack([lo + i, j, count[lo + i, j]]))
+        del last
         i, j, c = np.concatenate(found, axis=1)
+        del found, count
+        order = np.argsort(-c, kind="stable")
+        i, j = i[order], j[order]
+        if counting or not spanning:
+            good = _overlaps(sets, i, j) >= _need(n[i], n[j], percent)
+            i, j = i[good], j[good]
+        if counting:
+            per = np.bincount(np.concatenate([i, j]), minlength=len(rows))
+            for a in np.flatnonzero(per).tolist():
+                yield k1[a], None, int(per[a])
         up = list(range(len(rows)))
 
         def root(x):
@@ -254,36 +299,66 @@ def _products(percent: int, spanning: bool):
                 x = up[x]
             return x
 
-        for at in np.argsort(-c, kind="stable").tolist():
-            a, b = int(i[at]), int(j[at])
-            ra, rb = root(a), root(b)
-            if spanning and ra == rb:
-                continue
-            x, y = (sets[a], sets[b]) if n[a] < n[b] else (sets[b], sets[a])
-            to = np.searchsorted(y, x)
-            if int((y[np.minimum(to, len(y) - 1)] == x).sum()) >= _need(n[a], n[b], percent):
+        left = len(rows) - 1
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if spanning:
+                if not left:
+                    break  # all are connected
+                ra, rb = root(a), root(b)
+                if ra == rb:
+                    continue
+                if not counting and int(_overlaps(sets, np.array([a]), np.array([b]))[0]) < _need(n[a], n[b], percent):
+                    continue
                 up[max(ra, rb)] = min(ra, rb)
-                yield min(k1[a], k1[b]), max(k1[a], k1[b])
+                left -= 1
+            yield min(k1[a], k1[b]), max(k1[a], k1[b]), None
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, [], []
+        group, rows = None, []
         for batch in batches:
-            names = ("component", "cell", "k1", "n", "block", "cols", "places", "shingles")
-            for comp, cell, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (comp, cell) != group:
-                    out += links(rows)
-                    group, rows = (comp, cell), []
+            names = ("component", "lo", "hi", "k1", "n", "block", "cols", "places", "shingles")
+            for comp, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (comp, lo, hi) != group:
+                    if out := list(links(rows)):
+                        yield batch_of(out)
+                    group, rows = (comp, lo, hi), []
                 rows.append(row)
-            if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-                out = []
-        out = list(links(rows))
-        if out:
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        if out := list(links(rows)):
+            yield batch_of(out)
 
     return run
 
 
+def _celled(placed: DataFrame, percent: int) -> DataFrame:
+    """Each class of a group of two or more in every cell (lo, hi) of its group that it takes part in.
+
+    A group that fits one block is one cell. Others are cut into bands of set sizes, a band
+    just wider than the range in which sets can be alike, and bands into blocks; a cell is a
+    pair of blocks of one band or of neighbouring ones.
+    """
+    band = F.floor(F.log("n") / F.lit(1.000001 * np.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    large = (F.col("size") > BLOCK) | (F.col("weight") > WEIGHT)
+    banded = placed.join(sizes, "component").withColumn("band", F.when(large, band).otherwise(0).cast("long")).drop("size", "weight")
+    bands = banded.groupBy("component", "band").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK}), ceil(sum(n) / {WEIGHT}))").cast("long").alias("parts"))
+    near = Window.partitionBy("component").orderBy("band")  # a group has as many bands as the logarithm of its largest set
+
+    def neighbour(step: int):
+        return F.when(F.lag("band", step).over(near) == F.col("band") - step, F.lag("parts", step).over(near)).otherwise(0)
+
+    bands = bands.withColumn("below", neighbour(1)).withColumn("above", neighbour(-1))
+    dealt = banded.join(bands, ["component", "band"]).withColumn("at", F.expr("pmod(xxhash64(k1), parts)"))
+    label = "((band + {}) * 1048576L + {})"
+    own, under, over = (label.format(d, x) for d, x in ((0, "at"), (-1, "o"), (1, "o")))
+    within = f"transform(sequence(0L, parts - 1), o -> named_struct('lo', {label.format(0, 'least(at, o)')}, 'hi', {label.format(0, 'greatest(at, o)')}))"
+    up = f"if(above > 0, transform(sequence(0L, above - 1), o -> named_struct('lo', {own}, 'hi', {over})), array())"
+    down = f"if(below > 0, transform(sequence(0L, below - 1), o -> named_struct('lo', {under}, 'hi', {own})), array())"
+    return dealt.select("component", "k1", "n", F.expr(own).alias("block"), "cols", "places", "shingles", F.expr(f"inline(concat({within}, {up}, {down}))"))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, n, cols, places) with the two lists as bytes, columns ascending."""
     for batch in batches:
@@ -305,34 +380,56 @@ def _bitmap(spark, keys: DataFrame):
     return spark.sparkContext.broadcast(mask)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, lower: bool = True, spanning: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(members, links): rows (doc_id, n, k1, k2) of all documents, and links (a, b).
+def _twins(members: DataFrame) -> dict[tuple[int, int], int]:
+    """Another name for each class whose 64 bits are those of a class with less in the other 64.
+
+    Among n classes n^2 / 2^65 are to be expected: none below some billions.
+    """
+    keys = members.where("n > 0").select("k1", "k2").distinct()
+    several = keys.groupBy("k1").agg(F.min("k2").alias("first"), F.count("*").alias("m")).where("m > 1")
+    rows = keys.join(several, "k1").where("k2 > first").select("k1", "k2", F.xxhash64("k1", "k2", F.lit("twin")).alias("name")).collect()
+    return {(r["k1"], r["k2"]): r["name"] for r in rows}
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, lower: bool = True, spanning: bool = True, counting: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, counts): rows (doc_id, n, k1, k2) of all documents, links (a, b), and (k1, n_links).
 
     A link joins two different shingle sets (`k1`) with 100 * I >= percent * U. With
     `spanning`, links between sets already known to be connected are left out; without
-    it every link is returned. Null text or text without words: n = 0, never linked.
-    Repeated rows and null ids stay rows of their own.
+    it every link is returned. With `counting` each set's number of links is in counts, which
+    else is empty. Null text or text without words: n = 0, never linked. Repeated rows and
+    null ids stay rows of their own.
     """
+    with Scratch() as own:
+        members, links = _classes(docs, id_col, text_col, k, percent, lower, spanning, counting)
+        own.keep(members, links)
+    per = links.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("n").alias("n_links"))
+    return members.where("bucket is null").drop("bucket"), links.where("b is not null").select("a", "b"), per
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, lower: bool, spanning: bool, counting: bool) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     described = stash(base.mapInArrow(_describe(k, lower), f"doc_id {id_type}, n long, k1 long, k2 long, bucket long"))
-    members = described.where("bucket is null").drop("bucket")
     table = np.zeros(BUCKETS, np.int64)
     sums = described.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("c")).toArrow()  # at most BUCKETS rows
     table[sums.column("bucket").to_numpy()] = sums.column("c").to_numpy()
     counts = spark.sparkContext.broadcast(_level_of(table).astype(np.uint16))
+    twins = _twins(described.where("bucket is null"))
+    if twins:
+        renamed = spark.createDataFrame([(*key, name) for key, name in twins.items()], "k1 long, k2 long, name long")
+        described = stash(described.join(F.broadcast(renamed), ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("name", "k1").alias("k1"), "k2", "bucket"))
 
     parts = ranges_for(spark)
-    prefix = base.select("text").mapInArrow(_prefixes(k, lower, percent, counts), "col long, salt int, k1 long, n int, pos int")
+    prefix = base.select("text").mapInArrow(_prefixes(k, lower, percent, counts, twins), "col long, salt int, k1 long, n int, pos int")
     rows = stash(prefix.repartition(parts, "col", "salt").sortWithinPartitions("col", "salt", "k1").mapInArrow(_shared, "col long, k1 long, n int, pos int"))
     need = F.expr(f"least(greatest({SHARED}, n div 20), ({percent} * n + 99) div 100)")
     for _ in range(2):  # classes need columns, columns need two classes
         rich = rows.groupBy("k1", "n").agg(F.count("*").alias("m")).where(F.col("m") >= need).select("k1")
         rows = rows.join(rich, "k1")
         met = rows.groupBy("col").agg(F.count("*").alias("m")).where("m > 1").select("col")
-        left = stash(rows.join(met, "col"))
-        rows = left
+        rows = stash(rows.join(met, "col"))
     width = rows.groupBy("col").agg(F.count("*").alias("width"))
     wide = rows.join(width, "col")
     long = wide.where(F.col("width") > SMALL).groupBy("k1").agg(F.count("*").alias("long"))
@@ -345,48 +442,50 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stash(components(edges))
     chosen = rows.join(groups.select(F.col("node").alias("k1")), "k1", "left_semi")
     classes = stash(chosen.groupBy("k1", "n").agg(F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("cells")).mapInArrow(_packed, "k1 long, n int, cols binary, places binary"))
-    placed = classes.join(groups.withColumnRenamed("node", "k1"), "k1")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
-    dealt = placed.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(k1), blocks)"))
     bits = _bitmap(spark, classes.select("k1"))
-    active = base.select("text").mapInArrow(_active_sets(k, lower, bits), "k1 long, k2 long, n long, shingles binary").select("k1", "shingles").dropDuplicates(["k1"])
-    cells = dealt.join(active, "k1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * blocks + greatest(block, other)"))
-    cells = cells.select("component", "cell", "k1", "n", "block", "cols", "places", "shingles")
-    links = stash(cells.repartition(parts, "component", "cell").sortWithinPartitions("component", "cell").mapInArrow(_products(percent, spanning), "a long, b long").distinct())
-    release(rows, wide, classes, groups)
-    return members, links
+    active = base.select("text").mapInArrow(_active_sets(k, lower, bits, twins), "k1 long, k2 long, n long, shingles binary").select("k1", "shingles").dropDuplicates(["k1"])
+    placed = classes.join(groups.withColumnRenamed("node", "k1"), "k1").join(active, "k1")
+    cells = _celled(placed, percent).repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return described, stash(cells.mapInArrow(_products(percent, spanning, counting), "a long, b long, n long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, lower: bool = True, counting: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id[, n_links].
 
     component_id is the least id reachable over links, the document's own included;
-    class_id the least id with the same shingle set. Documents without words are alone,
+    class_id the least id with the same shingle set; with `counting`, n_links is the number of
+    other sets that the document's set is linked with. Documents without words are alone,
     and so is each row of theirs; a null id takes part, but is never the least.
     """
-    members, links = jaccard_classes(docs, id_col, text_col, k, percent, lower)
-    comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "k1")
-    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    placed = classes.join(comp, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    full = stash(placed.join(least, "component").select("k1", "k2", "class_id", "component_id"))
-    has = members.where("n > 0").join(full, ["k1", "k2"])
-    none = members.where("n = 0").withColumn("class_id", F.col("doc_id")).withColumn("component_id", F.col("doc_id"))
-    out = has.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    return out.unionByName(none.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id"))
+    with Scratch() as own:
+        members, links, counts = jaccard_classes(docs, id_col, text_col, k, percent, lower, counting=counting)
+        comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "k1")
+        classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+        placed = classes.join(comp, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+        placed = placed.join(counts, "k1", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+        least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+        full = stash(placed.join(least, "component").select("k1", "k2", "class_id", "component_id", "n_links"))
+        ids = stash(members)
+        own.keep(full, ids)
+    has = ids.where("n > 0").join(full, ["k1", "k2"])
+    alone = {"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}
+    out = has.unionByName(ids.where("n = 0").withColumns(alone))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", *(["n_links"] if counting else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least id; all columns kept.
+    """One document of each component, the one with the least id; all columns kept, whatever their names.
 
     Documents without words and rows without an id are kept. Where an id is repeated, of
     its rows with equal texts one is kept.
     """
     (chosen_id,) = fresh(docs, "chosen_id")
-    rows = stash(jaccard_components(docs, id_col, text_col, k, percent))
+    with Scratch() as own:
+        rows = stash(jaccard_components(docs, id_col, text_col, k, percent))
+        own.keep(rows)
     chosen = rows.where("n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias(chosen_id)).distinct()
-    kept = docs.join(chosen, docs[id_col] == chosen[chosen_id], "left_semi")
+    kept = docs.join(chosen, named(id_col) == F.col(chosen_id), "left_semi")
     twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.limit(1).count():
         kept = kept.dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.unionByName(docs.where(named(id_col).isNull()))

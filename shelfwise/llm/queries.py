@@ -19,7 +19,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_docs(spark, sf_dir), k=4, percent=85)
+    return jaccard_join.jaccard_components(_docs(spark, sf_dir), k=4, percent=85, counting=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,8 @@ cls as (select doc_id, min(doc_id) over (partition by gs) as class_id from n),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
 r as (select a as u, b as v from l union select r.u, l.b from r join l on r.v = l.a),
-m as (select u, min(v) as v from r group by 1)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.v, d.doc_id)) as component_id, coalesce(cls.class_id, d.doc_id) as class_id
-from documents d left join n using (doc_id) left join cls using (doc_id) left join m on m.u = d.doc_id""",
+m as (select u, min(v) as v from r group by 1),
+k as (select l.a as doc_id, count(distinct y.class_id) as n_links from l join cls x on x.doc_id = l.a join cls y on y.doc_id = l.b where x.class_id <> y.class_id group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.v, d.doc_id)) as component_id, coalesce(cls.class_id, d.doc_id) as class_id, coalesce(k.n_links, 0) as n_links
+from documents d left join n using (doc_id) left join cls using (doc_id) left join m on m.u = d.doc_id left join k on k.doc_id = d.doc_id""",
 }

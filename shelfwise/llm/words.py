@@ -7,6 +7,7 @@ longer UTF-8 sequence, so bytes can be classified one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _RAW = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = _RAW.copy()
 _LOWER[65:91] = _RAW[97:123]
+_DOWN = np.arange(256, dtype=np.uint8)
+_DOWN[65:91] = np.arange(97, 123)
+LONG = 512  # bytes beyond which a string is hashed by itself: polynomials modulo 2^64 are weak there
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -43,10 +47,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Polynomial prefix sums of a byte buffer: the hash of any substring in O(1)."""
+    """Polynomial prefix sums of a byte buffer: the hash of any substring of up to LONG bytes in O(1)."""
 
     def __init__(self, buf: np.ndarray, lower: bool = False):
         n = len(buf)
+        self.buf, self.lower = buf, lower
         self.up, self.down = _powers(n + 1)
         with np.errstate(over="ignore"):
             self.sums = np.empty(n + 1, U)
@@ -55,7 +60,12 @@ class Prefix:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
+            out = mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            part = self.buf[starts[i] : ends[i]]
+            data = (_DOWN[part] if self.lower else part).tobytes()
+            out[i] = int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
+        return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
