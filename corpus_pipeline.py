@@ -5,7 +5,7 @@ rejects goes), the n-gram Jaccard join (one document of each group stays), secre
 (secrets are blanked), mixing of the sources to target weights (documents are taken as often
 as the mix takes them), and best-fit packing into sequences. All but the last return the
 columns they got. Empty tables, null texts and repeated rows pass through every stage as the
-operators define it.
+operators define it. Columns may have any name besides doc_id, text, lang, source and n_chars.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import jaccard_join, language_id, mixing, packing, queries, secrets
-from shelfwise.llm.tables import fresh, stash
+from shelfwise.llm.tables import Scratch, fresh, named, release, stash
 from shelfwise.sources.ship import ship
 
 BLANK = "[REDACTED]"
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language that the centroids learned from all labelled ones recognise."""
     ship(spark)
     model = language_id.fit(docs, F.lit(True))
-    return docs.where(~language_id.rejection(model)(F.col("text").cast("string")))
+    return docs.where(~language_id.rejection(model)(named("text").cast("string")))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return found.select(*map(named, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stash(docs)
-    return docs
+        with Scratch() as own:
+            after = stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                own.keep(*own.frames)  # the result is read from them
+                return after
+            after = stash(after)
+            own.keep(after)
+        release(docs)  # the stage before has been read to its end
+        docs = after
