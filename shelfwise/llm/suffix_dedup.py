@@ -11,14 +11,19 @@ bytes beyond them. The merged order's common prefixes, and the bytes to the left
 anchor, tell exactly which strings around it occur elsewhere.
 
 Texts are known by their digest: equal texts have equal results, and one of 200 bytes or
-more with a copy goes as a whole. Bitmap, splitters and runs bound the memory of a task;
-should the bitmap fill up, more suffixes are exchanged, but results stay the same.
+more with a copy goes as a whole. The splitters are whole first grams of sampled occurrences,
+so parts are even unless one gram alone has more occurrences than a part; those with equal
+surroundings are one entry of a run, those with different ones meet in one task. Memory of a
+task: a slice of text, a run of ENTRIES suffixes, or a part. The bitmap grows with the repeated
+grams up to MOST_BITS; beyond, more suffixes are exchanged in vain, but results stay the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import others, ranges_for, stash
+from .tables import Scratch, free_names, named, others, ranges_for, shape_of, stash
 from .words import Prefix, mix, slices, utf8
 
 ANCHOR = 64
 TILE = 1 << 19
-BITS = 1 << 26
+MOST_BITS = 1 << 28
+ENTRIES = 1 << 15  # suffixes of a run
+PARTS_A_TASK = 4
+SAMPLED = 32  # first grams collected for each part, to choose splitters
 
 
 def anchors(part: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +72,38 @@ def anchors(part: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray,
     return pos, np.concatenate(hashes)[first]
 
 
-def _lead(data: bytes, pos: list[int]) -> np.ndarray:
-    """The first 8 bytes of suffixes as integers, in byte order, shifted to be signed."""
-    return np.array([int.from_bytes(data[p : p + 8].ljust(8, b"\0"), "big") - (1 << 63) for p in pos], np.int64)
+def _grams(width: int):
+    """(key, seen): gram hashes of anchors and their occurrences in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part, own, _ in _new_texts(batch.column("text"), seen):
+                _, keys = anchors(part, own, width)
+                uniq, count = np.unique(keys, return_counts=True)
+                yield pa.record_batch([pa.array(uniq.view(np.int64)), pa.array(count)], names=["key", "seen"])
 
+    return run
 
-def _grams(width: int):
-    """(key, lead, seen): gram hashes, the suffix's first bytes, occurrences in this task."""
+
+def _wanted(keys: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    b = keys % np.uint64(8 * len(mask))
+    return (mask[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _leads(width: int, bits, share: float):
+    """(lead): first grams of a share of the repeated anchors, by a hash of gram and place."""
+    below = np.uint64(int(min(1.0, share) * (2**53 - 1)) << 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for part, own, _ in _new_texts(batch.column("text"), seen):
                 pos, keys = anchors(part, own, width)
-                uniq, first, count = np.unique(keys, return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(uniq.view(np.int64)), pa.array(_lead(part.tobytes(), pos[first].tolist())), pa.array(count)], names=["key", "lead", "seen"])
+                with np.errstate(over="ignore"):
+                    take = _wanted(keys, bits.value) & (mix(keys + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) <= below)
+                yield pa.record_batch([pa.array([part[p : p + ANCHOR].tobytes() for p in pos[take].tolist()], pa.binary())], names=["lead"])
 
     return run
 
@@ -125,33 +150,33 @@ def front_code(sorted_suffixes: list[bytes]) -> list[tuple[int, bytes]]:
 def _runs(width: int, bits, splitters):
     """Front-coded sorted runs: (part, run, seq, shared, rest, left, refs)."""
     reach = width - ANCHOR
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def coded(entries: dict, cuts: list[bytes], run_id: int) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(7)]
+        for part, group in groupby(sorted(entries), lambda e: bisect_right(cuts, e[0][:ANCHOR])):
+            mine = list(group)
+            for seq, ((h, rest), e) in enumerate(zip(front_code([x for x, _ in mine]), mine, strict=True)):
+                for c, v in zip(cols, (part, run_id, seq, h, rest, e[1], b"".join(entries[e])), strict=True):
+                    c.append(v)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "run", "seq", "shared", "rest", "left", "refs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, cuts, seen = bits.value, splitters.value, set()
-        run_id = TaskContext.get().partitionId() << 20 if TaskContext.get() else 0
+        run_id = TaskContext.get().partitionId() << 32 if TaskContext.get() else 0
+        entries: dict[tuple[bytes, bytes], list[bytes]] = {}
         for batch in batches:
             for part, own, digests in _new_texts(batch.column("text"), seen):
                 pos, keys = anchors(part, own, width)
-                b = keys % np.uint64(BITS)
-                pos = pos[(mask[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(pos):
-                    continue
+                pos = pos[_wanted(keys, mask)]
                 data, doc = part.tobytes(), np.searchsorted(own, pos, "right") - 1
-                entries: dict[tuple[bytes, bytes], list[bytes]] = {}
                 for p, d, lo, hi in zip(pos.tolist(), doc.tolist(), own[doc].tolist(), own[doc + 1].tolist(), strict=True):
-                    ref = digests[d] + (p - lo).to_bytes(8, "big")
-                    entries.setdefault((data[p : min(p + width, hi)], data[max(lo, p - reach) : p]), []).append(ref)
-                order = sorted(entries)
-                to = np.searchsorted(cuts, [int.from_bytes(x[:8].ljust(8, b"\0"), "big") - (1 << 63) for x, _ in order], "right")
-                cols: list[list] = [[] for _ in range(7)]
-                for target in np.unique(to).tolist():
-                    mine = [e for e, t in zip(order, to.tolist(), strict=True) if t == target] if len(cuts) else order
-                    for seq, ((h, rest), e) in enumerate(zip(front_code([x for x, _ in mine]), mine, strict=True)):
-                        for c, v in zip(cols, (target, run_id, seq, h, rest, e[1], b"".join(entries[e])), strict=True):
-                            c.append(v)
-                run_id += 1
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "run", "seq", "shared", "rest", "left", "refs"])
+                    entries.setdefault((data[p : min(p + width, hi)], data[max(lo, p - reach) : p]), []).append(digests[d] + (p - lo).to_bytes(8, "big"))
+                    if len(entries) >= ENTRIES:
+                        yield coded(entries, cuts, run_id)
+                        entries, run_id = {}, run_id + 1
+        if entries:
+            yield coded(entries, cuts, run_id)
 
     return run
 
@@ -328,32 +353,49 @@ def repeated_spans(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     ranges [start, end), maybe overlapping. Texts without repeats have no row.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grams = base.mapInArrow(_grams(width), "key long, lead long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"), F.min("lead").alias("lead"))
-    # a gram of a text with copies may be counted once a task: then it is exchanged in vain
-    twice = stash(grams.where("seen > 1").select("key", "lead"))
-    b = F.expr(f"pmod(key, {BITS}) + 1")
-    words = twice.select(b.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("w")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m"))
-    mask = np.zeros(BITS // 8, np.uint8)
-    for w, m in words.toLocalIterator():  # at most BITS / 2**15 rows of 4 KB
+    base = docs.select(F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    with Scratch() as own:
+        grams = base.mapInArrow(_grams(width), "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"))
+        # a gram of a text with copies may be counted once a task: then it is exchanged in vain
+        twice = stash(grams.where("seen > 1"))
+        n, total = twice.agg(F.count("*"), F.sum("seen")).head()
+        bits = spark.sparkContext.broadcast(_bitmap(twice, min(MOST_BITS, 1 << max(20, (16 * n).bit_length()))))
+        parts = PARTS_A_TASK * ranges_for(spark)
+        # about SAMPLED grams a part, from more texts than one in 64 grams asks for
+        share = min(1.0, SAMPLED * parts / max(total or 1, 1))
+        texts = min(1.0, 64 * share)
+        some = base.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(texts * (1 << 20)) + 1)
+        leads = some.mapInArrow(_leads(width, bits, share / texts), "lead binary").toArrow()
+        leads = sorted(leads.column("lead").to_pylist())
+        splitters = spark.sparkContext.broadcast(sorted({leads[i * len(leads) // parts] for i in range(1, parts)} if leads else ()))
+        runs = base.mapInArrow(_runs(width, bits, splitters), "part int, run long, seq int, shared int, rest binary, left binary, refs binary")
+        merged = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq").mapInArrow(_merge(width), "digest binary, start long, end long")
+        spans = merged.distinct().groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        copies = base.where(F.octet_length("text") >= width).groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
+        out = copies.select("digest", F.lit(True).alias("whole")).join(spans, "digest", "full")
+        found = stash(out.select("digest", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"))
+        own.keep(found)
+    return found
+
+
+def _bitmap(keys: DataFrame, size: int) -> np.ndarray:
+    """Bytes of a bitmap of `size` bits (a power of two) with the bit of each key set; built in Spark."""
+    b = F.expr(f"pmod(key, {size}) + 1")
+    words = keys.select(b.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("w")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m"))
+    mask = np.zeros(size // 8, np.uint8)
+    for w, m in words.toLocalIterator():  # at most size / 2**15 rows of 4 KB
         mask[(w - 1) * len(m) : w * len(m)] |= np.frombuffer(bytes(m), np.uint8)
-    parts = ranges_for(spark)
-    cuts = twice.agg(F.percentile_approx("lead", [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else None
-    bits = spark.sparkContext.broadcast(mask)
-    splitters = spark.sparkContext.broadcast(np.unique(np.array(cuts or [], np.int64)))
-    runs = base.mapInArrow(_runs(width, bits, splitters), "part int, run long, seq int, shared int, rest binary, left binary, refs binary")
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq").mapInArrow(_merge(width), "digest binary, start long, end long")
-    spans = merged.distinct().groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    copies = base.where(F.octet_length("text") >= width).groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
-    out = copies.select("digest", F.lit(True).alias("whole")).join(spans, "digest", "full")
-    return stash(out.select("digest", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"))
-
-
-def _cut(names: list[str], carry: list[str]):
+    return mask
+
+
+def _cut(names: list[str]):
+    """Rows (carried columns, whole, spans, text) without what repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = utf8(batch.column("__text"))
-            whole, spans = batch.column("__whole").to_pylist(), batch.column("__spans").to_pylist()
+            *carried, whole, spans, texts = batch.columns
+            buf, offs = utf8(texts)
+            whole, spans = whole.to_pylist(), spans.to_pylist()
             size, removed, runs, sha, kept = [], [], [], [], []
             for d in range(batch.num_rows):
                 data = buf[offs[d] : offs[d + 1]].tobytes()
@@ -368,7 +410,7 @@ def _cut(names: list[str], carry: list[str]):
                 runs.append(len(ranges))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            yield pa.record_batch([*(batch.column(c) for c in carry), *(pa.array(v, pa.int64()) for v in (size, removed, runs)), pa.array(sha), pa.array(kept, pa.binary())], names=names)
+            yield pa.record_batch([*carried, *(pa.array(v, pa.int64()) for v in (size, removed, runs)), pa.array(sha), pa.array(kept, pa.binary())], names=names)
 
     return run
 
@@ -388,12 +430,14 @@ def without_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", c
     kept_sha256, kept (the bytes that stay; a cut may fall inside a character).
 
     Null texts are empty. Texts under `width` bytes never lose a byte. Spans that touch are one.
+    Repeated rows are copies of each other. Other columns may have any name.
     """
-    stats = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    stats = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
     carry = others(docs, text_col, *stats) if carry is None else carry
-    found = repeated_spans(docs, width, text_col).withColumnsRenamed({"whole": "__whole", "spans": "__spans", "digest": "__digest"})
-    base = docs.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    joined = base.withColumn("__digest", F.unhex(F.md5("__text"))).join(found, "__digest", "left").drop("__digest")
-    joined = joined.withColumn("__whole", F.coalesce("__whole", F.lit(False)))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return joined.mapInArrow(_cut([*carry, *stats], carry), ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"]))
+    digest, whole, spans, text = free_names(carry, "digest", "whole", "spans", "text")
+    base = docs.select(*map(named, carry), F.coalesce(named(text_col).cast("string"), F.lit("")).alias(text))
+    found = repeated_spans(docs, width, text_col).select(F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("spans").alias(spans))
+    joined = base.withColumn(digest, F.unhex(F.md5(text))).join(found, digest, "left")
+    joined = joined.select(*map(named, carry), F.coalesce(F.col(whole), F.lit(False)).alias(whole), spans, text)
+    shape = shape_of(docs, carry, stats)
+    return joined.mapInArrow(_cut(shape.names), shape)
