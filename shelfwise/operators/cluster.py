@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dot
+from .vectors import dot, matrix
 
-WARD_ROWS = 20_000  # beyond this, Ward runs on weighted micro-clusters
+WARD_ROWS = 12_000  # points that Ward's tree is built over at most: 4 bytes for each pair of them
 
 
 def pair_distances(space: DataFrame) -> DataFrame:
@@ -64,9 +65,13 @@ def ward_tree(vectors: np.ndarray, weights: np.ndarray | None = None) -> np.ndar
     """
     n = len(vectors)
     size = np.ones(n) if weights is None else weights.astype(float).copy()
-    d = np.maximum(0, 2 * (1 - vectors @ vectors.T)).astype(np.float32)
-    if weights is not None:
-        d *= (2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])).astype(np.float32)
+    d = np.empty((n, n), np.float32)
+    for lo in range(0, n, 512):
+        some = slice(lo, lo + 512)
+        part = np.maximum(0, 2 * (1 - vectors[some] @ vectors.T))
+        if weights is not None:
+            part *= 2 * size[some, None] * size[None, :] / (size[some, None] + size[None, :])
+        d[some] = part
     np.fill_diagonal(d, np.inf)
     alive = np.ones(n, bool)
     merges, chain = [], []
@@ -121,104 +126,110 @@ def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 def ward(space: DataFrame, k: int) -> DataFrame:
-    """Rows (row_id, cluster): Ward's method over the whole space.
+    """Rows (row_id, cluster): weighted Ward over points that stand for rows.
 
-    Up to WARD_ROWS rows the tree is built in one task, as the method needs all distances.
-    Above, spherical k-means first makes micro-clusters (a twentieth as many, at most
-    WARD_ROWS), and the tree is built over their weighted centroids.
+    The method needs all distances, so its tree is built in one task over WARD_ROWS points at
+    most. Up to as many rows each is a point of its own; of more, spherical k-means makes the
+    points, a twentieth as many as rows, each with the weight of its members.
     """
     n = space.count()
     kind = space.schema["row_id"].dataType.simpleString()
-    if n <= WARD_ROWS:
 
-        def build(pdf):
-            import pandas as pd
+    def build(pdf):
+        import pandas as pd
 
-            pdf = pdf.sort_values("row_id")
-            x = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
-            return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "cluster": cut_tree(ward_tree(x), len(x), k)})
+        pdf = pdf.sort_values("point")
+        x = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
+        weights = pdf["size"].to_numpy(float)
+        tree = ward_tree(x, None if (weights == 1).all() else weights)
+        return pd.DataFrame({"point": pdf["point"].to_numpy(), "cluster": cut_tree(tree, len(x), k)})
 
-        return space.select("row_id", "vec", F.lit(0).alias("all")).groupBy("all").applyInPandas(build, f"row_id {kind}, cluster int")
+    if n <= WARD_ROWS:
+        points = space.select(F.col("row_id").alias("point"), "vec", F.lit(1).alias("size"), F.lit(0).alias("all"))
+        return points.groupBy("all").applyInPandas(build, f"point {kind}, cluster int").withColumnRenamed("point", "row_id")
     micro, centres = kmeans(space, min(WARD_ROWS, max(k, n // 20)), rounds=5)
-    rows = centres.orderBy("cluster").collect()  # at most WARD_ROWS
-    x, size = np.array([r["vec"] for r in rows]), np.array([r["size"] for r in rows])
-    labels = cut_tree(ward_tree(x, size), len(rows), k)
-    table = space.sparkSession.createDataFrame([(int(r["cluster"]), int(c)) for r, c in zip(rows, labels, strict=True)], "micro int, cluster int")
-    return micro.withColumnRenamed("cluster", "micro").join(table, "micro").select("row_id", "cluster")
+    points = centres.where("size > 0").select(F.col("cluster").alias("point"), "vec", "size", F.lit(0).alias("all"))
+    found = points.groupBy("all").applyInPandas(build, "point int, cluster int")
+    return micro.withColumnRenamed("cluster", "point").join(found, "point").select("row_id", "cluster")
 
 
 def kmeans(space: DataFrame, k: int, seed: int = 1, rounds: int = 60, start_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """((row_id, cluster), (cluster, vec, size)): spherical k-means.
 
     Starts by k-means++ on a hash sample (`start_rows`, k * 4 at least); each round is one
-    pass that sends k sums per partition. A cluster left empty takes the worst-fitting row.
+    pass that sends one sum for each cluster of a task. Clusters left empty take the
+    worst-fitting rows.
     """
     spark = space.sparkSession
     rng = np.random.default_rng(seed)
-    some = sampled(space, max(start_rows, 4 * k), seed).orderBy("row_id").collect()
-    x = np.array([r["vec"] for r in some], float)
+    x = matrix(sampled(space, max(start_rows, 4 * k), seed).orderBy("row_id").select("vec").toArrow().column("vec").combine_chunks())
     k = min(k, len(x))
     kind = space.schema["row_id"].dataType.simpleString()
     if k == 0:
         return spark.createDataFrame([], f"row_id {kind}, cluster int"), spark.createDataFrame([], "cluster int, vec array<double>, size long")
-    centres = [x[rng.integers(len(x))]]
+    chosen = [int(rng.integers(len(x)))]
+    near = x @ x[chosen[0]]  # similarity with the nearest start
     for _ in range(k - 1):
-        far = np.maximum(0, 1 - np.max(x @ np.array(centres).T, axis=1)) ** 2
-        centres.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[rng.integers(len(x))])
-    c = np.array(centres)
+        far = np.maximum(0, 1 - near) ** 2
+        chosen.append(int(rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    c = x[chosen].copy()
 
-    def assign(shared):
+    def sums(shared):
         def run(batches):
-            import pandas as pd
+            total, count = np.zeros_like(shared.value), np.zeros(len(shared.value), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    v = matrix(batch.column("vec"))
+                    own = np.argmax(v @ shared.value.T, axis=1)
+                    order = np.argsort(own, kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) > 0]))
+                    total[own[order][first]] += np.add.reduceat(v[order], first)
+                    count += np.bincount(own, minlength=len(count))
+            some = np.flatnonzero(count)
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([t.tobytes() for t in total[some]], pa.binary()), pa.array(count[some])], names=["cluster", "total", "size"])
 
-            for pdf in batches:
-                if len(pdf):
-                    s = np.array(pdf["vec"].tolist()) @ shared.value.T
-                    yield pd.DataFrame({"row_id": pdf["row_id"], "cluster": np.argmax(s, axis=1), "sim": s.max(axis=1), "vec": pdf["vec"]})
+        return run
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_buffer()) for b in table.column("total"))
+        return pa.table({"cluster": table.column("cluster")[:1], "total": pa.array([total.tobytes()], pa.binary()), "size": pa.array([int(table.column("size").to_numpy().sum())])})
+
+    def placed_by(shared):
+        def run(batches):
+            for batch in batches:
+                v = matrix(batch.column("vec")) if batch.num_rows else np.zeros((0, shared.value.shape[1]))
+                s = v @ shared.value.T
+                yield pa.record_batch([batch.column("row_id"), pa.array(np.argmax(s, axis=1).astype(np.int32)), pa.array(s.max(axis=1) if len(s) else np.zeros(0))], names=["row_id", "cluster", "sim"])
 
         return run
 
-    shape = f"row_id {kind}, cluster int, sim double, vec array<double>"
+    shape = "cluster int, total binary, size long"
+    shared = spark.sparkContext.broadcast(c)
     for _ in range(rounds):
+        new, empty = c.copy(), np.ones(len(c), bool)
+        per = space.select("vec").mapInArrow(sums(shared), shape).groupBy("cluster").applyInArrow(added, shape)
+        for r in per.collect():  # one row a cluster
+            v = np.frombuffer(bytes(r["total"]))
+            norm = np.linalg.norm(v)
+            new[r["cluster"]] = v / norm if norm > 0 else c[r["cluster"]]
+            empty[r["cluster"]] = False
+        if empty.any():
+            worst = space.select("row_id", "vec").mapInArrow(placed_by(shared), f"row_id {kind}, cluster int, sim double").orderBy("sim", "row_id").limit(int(empty.sum()))
+            rows = space.join(worst, "row_id").orderBy("sim", "row_id").select("vec").collect()
+            for j, r in zip(np.flatnonzero(empty).tolist(), rows, strict=False):
+                new[j] = np.array(r["vec"])
+        same = np.allclose(new, c, atol=1e-12)
+        c = new
         shared = spark.sparkContext.broadcast(c)
-        placed = space.select("row_id", "vec").mapInPandas(assign(shared), shape)
-        sums = placed.select("cluster", "row_id", "sim", "vec").rdd.mapPartitions(_partial_sums(len(c))).treeReduce(_add)
-        new = c.copy()
-        spare = sorted(sums[2])
-        for j in range(len(c)):
-            if sums[1][j]:
-                norm = np.linalg.norm(sums[0][j])
-                new[j] = sums[0][j] / norm if norm > 0 else c[j]
-            elif spare:
-                new[j] = np.array(spare.pop(0)[2])
-        if np.allclose(new, c, atol=1e-12):
+        if same:
             break
-        c = new
-    shared = spark.sparkContext.broadcast(c)
-    placed = space.select("row_id", "vec").mapInPandas(assign(shared), shape)
+    placed = space.select("row_id", "vec").mapInArrow(placed_by(shared), f"row_id {kind}, cluster int, sim double")
     found = placed.groupBy("cluster").agg(F.count("*").alias("size"))
     table = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "cluster int, vec array<double>")
     return placed.select("row_id", "cluster"), table.join(found, "cluster", "left").select("cluster", "vec", F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def _partial_sums(k: int):
-    def run(rows):
-        total, count, worst = None, np.zeros(k, int), []
-        for cluster, row_id, sim, vec in rows:
-            v = np.array(vec)
-            total = np.zeros((k, len(v))) if total is None else total
-            total[cluster] += v
-            count[cluster] += 1
-            worst = sorted([*worst, (sim, row_id, vec)], key=lambda w: w[:2])[:k] if len(worst) < k or sim < worst[-1][0] else worst
-        return [(total if total is not None else 0.0, count, worst)]
-
-    return run
-
-
-def _add(a, b):
-    return a[0] + b[0], a[1] + b[1], sorted(a[2] + b[2], key=lambda w: w[:2])[: len(a[1])]
-
-
 def kmeans_best(space: DataFrame, k: int, restarts: int = 4, seed: int = 1) -> DataFrame:
     """The best of several runs by mean cosine; of equal ones the first."""
     best = None
@@ -230,8 +241,12 @@ def kmeans_best(space: DataFrame, k: int, restarts: int = 4, seed: int = 1) -> D
     return best[1]
 
 
-def consensus(space: DataFrame, k: int, runs: int = 3, seed: int = 1) -> DataFrame:
-    """Clusters of the agreement space: one indicator for each (run, cluster) of a row."""
+def consensus(space: DataFrame, k: int, runs: int = 3, seed: int = 1) -> tuple[DataFrame, DataFrame, float]:
+    """((row_id, cluster), (cluster, vec, size), mean similarity): k-means of the agreement space.
+
+    A row is there one indicator for each of its clusters in `runs` runs; centroids and the
+    score are those of the rows' own vectors.
+    """
     marks = None
     for r in range(runs):
         placed, _ = kmeans(space, k, seed + r)
@@ -240,7 +255,10 @@ def consensus(space: DataFrame, k: int, runs: int = 3, seed: int = 1) -> DataFra
     one = float(1 / np.sqrt(runs))
     held = marks.groupBy("row_id").agg(F.collect_set("dim").alias("dims"))
     indicator = F.transform(F.sequence(F.lit(0), F.lit(runs * k - 1)), lambda d: F.when(F.array_contains("dims", d), one).otherwise(0.0))
-    return kmeans(held.select("row_id", indicator.alias("vec")), k, seed)[0]
+    found = kmeans(held.select("row_id", indicator.alias("vec")).persist(), k, seed)[0].persist()
+    members = space.join(found, "row_id").select("row_id", "cluster", "vec")
+    centres = centroids(members)
+    return found, centres, similarities(members, centres).agg(F.avg("sim")).head()[0] or 0.0
 
 
 def search_k(space: DataFrame, low: int, high: int, sample: int = 600, seed: int = 1) -> int:

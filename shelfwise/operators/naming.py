@@ -22,14 +22,23 @@ def class_scores(terms: DataFrame, bigrams: DataFrame, assigned: DataFrame) -> D
     Terms are (doc_id, term, weight, topic_weight), bigrams (doc_id, bigram, weight); only
     primary assignments (doc_id, cluster) count. Words that came from topics gain up to 60 %.
     """
-    dec = "decimal(24,8)"
-    both = terms.select("doc_id", "term", F.col("weight").cast(dec).alias("w"), F.col("topic_weight").cast(dec).alias("t"))
-    both = both.unionByName(bigrams.select("doc_id", F.col("bigram").alias("term"), (F.col("weight") * BIGRAM_BOOST).cast(dec).alias("w"), F.lit(0).cast(dec).alias("t")))
-    return shares(both.join(assigned, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("w"), F.sum("t").alias("t")))
+    return shares(class_sums(weighed(terms, bigrams), assigned))
+
+
+def weighed(terms: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """Rows (doc_id, term, w, t): terms and boosted bigrams, in whole millionths: sums are exact and fast."""
+    units = lambda x: F.round(x * 1e6).cast("long")
+    both = terms.select("doc_id", "term", units(F.col("weight")).alias("w"), units(F.col("topic_weight")).alias("t"))
+    return both.unionByName(bigrams.select("doc_id", F.col("bigram").alias("term"), units(F.col("weight") * BIGRAM_BOOST).alias("w"), F.lit(0).cast("long").alias("t")))
+
+
+def class_sums(both: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Rows (cluster, term, w, t): weights of terms by cluster, from (doc_id, term, w, t)."""
+    return both.join(assigned, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
 
 
 def shares(per: DataFrame) -> DataFrame:
-    """Rows (cluster, term, score, weight) of the sums (cluster, term, w, t).
+    """Rows (cluster, term, score, weight) of the sums (cluster, term, w, t), weights in the unit of w.
 
     The totals test `t`, and all readers the keys: so all three need the same rows and columns
     of `per`, which is then computed and exchanged once.
@@ -158,23 +167,69 @@ def describe(terms: Sequence[str], scores: Sequence[float]) -> str:
     return MARKER
 
 
+def closest(found: list[dict], threshold: float) -> tuple[int, int] | None:
+    """The clusters of the two labels most alike by their terms; of equal pairs the last."""
+    best = None
+    low = [{t.lower() for t in x["terms"]} for x in found]
+    for i in range(len(found)):
+        for j in range(i + 1, len(found)):
+            overlap = len(low[i] & low[j]) / len(low[i] | low[j]) if low[i] and low[j] else 0.0
+            if overlap >= (threshold if best is None else best[0]):
+                best = (overlap, found[i]["cluster"], found[j]["cluster"])
+    return best[1:] if best else None
+
+
+def merged(per: DataFrame, sizes: dict[int, int], surfaces: DataFrame, cased: DataFrame, threshold: float = 0.3) -> dict[int, int]:
+    """New number of each cluster, when those with labels alike are one: by size, then old number.
+
+    Labels change with each merge, so they are made anew, from the sums of the first clusters
+    `per` (cluster, term, w, t), until no pair reaches the threshold. There are some dozens.
+    """
+    into = {c: c for c in sizes}
+    while True:
+        total: dict[int, int] = {}
+        for c, to in into.items():
+            total[to] = total.get(to, 0) + sizes[c]
+        number = {c: i for i, c in enumerate(sorted(total, key=lambda c: (-total[c], c)))}
+        now = {c: number[to] for c, to in into.items()}
+        if threshold <= 0 or len(total) < 2:
+            return now
+        table = per.sparkSession.createDataFrame(list(now.items()), "cluster int, number int")
+        joined = per.join(F.broadcast(table), "cluster").groupBy(F.col("number").alias("cluster"), "term").agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
+        pair = closest(labels(shares(joined), surfaces, cased), threshold)
+        if pair is None:
+            return now
+        into = {c: pair[0] if n == pair[1] else n for c, n in now.items()}
+
+
 def labels(scores: DataFrame, surfaces: DataFrame, cased: DataFrame, top: int = 6, spare: int = 40) -> list[dict]:
     """Named labels in the order of clusters: cluster, name, terms, scores, lead, description.
 
     Names depend on the ones before, so they are composed on the driver, from `spare` ranked
-    terms of each cluster (there are at most some dozens of clusters).
+    terms of each cluster (there are at most some dozens of clusters); where so many are
+    passed over that fewer than `top` remain though there were more, from four times as many.
     """
-    ranked = top_terms(scores, spare).join(surfaces, "term", "left").select("cluster", "rank", "term", "score", F.coalesce("surface", "term").alias("surface"))
-    wanted = ranked.select(F.explode(F.split("surface", " ")).alias("word")).distinct()
-    case = dict(cased.join(wanted, "word").select("word", "written").collect())
-    out, used = [], set()
+    found, cut = _labels(scores, surfaces, cased, top, spare)
+    while cut:
+        spare *= 4
+        found, cut = _labels(scores, surfaces, cased, top, spare)
+    return found
+
+
+def _labels(scores: DataFrame, surfaces: DataFrame, cased: DataFrame, top: int, spare: int) -> tuple[list[dict], bool]:
+    ranked = top_terms(scores, spare).select("cluster", "rank", "term", "score").collect()
+    terms = sorted({r["term"] for r in ranked})
+    shown = dict(surfaces.where(F.col("term").isin(terms)).select("term", "surface").collect())
+    words = sorted({w for t in terms for w in (shown.get(t) or t).split(" ")})
+    case = dict(cased.where(F.col("word").isin(words)).select("word", "written").collect())
+    out, used, cut = [], set(), False
     groups: dict[int, list] = {}
-    for r in ranked.orderBy("cluster", "rank").collect():
+    for r in sorted(ranked, key=lambda r: (r["cluster"], r["rank"])):
         groups.setdefault(r["cluster"], []).append(r)
     for c, rows in sorted(groups.items()):
         seen, terms, values, lead = set(), [], [], ""
         for r in rows:
-            d = display(r["surface"], case)
+            d = display(shown.get(r["term"]) or r["term"], case)
             if not d or subjectless(d) or d.lower() in seen:
                 continue
             seen.add(d.lower())
@@ -183,7 +238,8 @@ def labels(scores: DataFrame, surfaces: DataFrame, cased: DataFrame, top: int =
             values.append(float(r["score"]))
             if len(terms) == top:
                 break
+        cut |= len(terms) < top and len(rows) == spare
         name = compose(terms, values, used)
         used.add(name.lower())
         out.append({"cluster": c, "name": name, "terms": terms, "scores": values, "lead": lead, "description": describe(terms, values)})
-    return out
+    return out, cut

@@ -29,6 +29,7 @@ class Weights:
 
 
 README_INFER_WORDS = 20
+MILLION = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -145,10 +146,10 @@ def inferred_topics(records: DataFrame, index: DataFrame, weights: Weights = Wei
 def weighted_terms(records: DataFrame, weights: Weights = Weights(), index: DataFrame | None = None, stem: bool = True) -> tuple[DataFrame, DataFrame]:
     """(terms, bigrams): (doc_id, term, weight, topic_weight) and (doc_id, bigram, weight).
 
-    Sums are decimal, hence the same in any order. A topic of several words counts whole, as
+    Sums are of whole millionths, hence the same in any order. A topic of several words counts whole, as
     topic:<canonical>, and by word; several topics are never joined to one word sequence.
     """
-    dec = lambda x: F.lit(x).cast("decimal(20,6)")
+    dec = lambda x: F.lit(round(x * MILLION)).cast("long")
     terms, pairs = [], []
 
     def add(toks: DataFrame, weight: float | Column, keys: list[str], from_topic: bool = False) -> None:
@@ -178,13 +179,13 @@ def weighted_terms(records: DataFrame, weights: Weights = Weights(), index: Data
         lang = records.select("doc_id", language_term(F.col("language")).alias("term")).where("term is not null")
         terms.append(lang.select("doc_id", "term", dec(weights.language).alias("weight"), dec(0.0).alias("topic_weight")))
     if index is not None:
-        topics = inferred_topics(records, index, weights, stem)
+        topics = inferred_topics(records, index, weights, stem).withColumn("weight", (F.col("weight") * MILLION).cast("long"))
         terms.append(topics.select("doc_id", "term", "weight", F.col("weight").alias("topic_weight")))
 
     def total(frames: list[DataFrame], key: str, sums: list[str]) -> DataFrame:
         out = frames[0]
         for more in frames[1:]:
             out = out.unionByName(more)
-        return out.groupBy("doc_id", key).agg(*[F.sum(s).cast("double").alias(s) for s in sums])
+        return out.groupBy("doc_id", key).agg(*[(F.sum(s) / float(MILLION)).alias(s) for s in sums])
 
     return total(terms, "term", ["weight", "topic_weight"]), total(pairs, "bigram", ["weight"])

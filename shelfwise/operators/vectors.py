@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    """Rows (term, df, total) of (doc_id, term, weight) with one row for each pair: documents and weights.
+    """Rows (term, df, total) of (doc_id, term[, weight]) with one row for each pair: documents and weights.
 
     The weight is counted, so that this reads the same columns as a join with the terms: the
-    planner then computes and exchanges them once.
+    planner then computes and exchanges them once. Without weights each pair weighs 1.
     """
-    return terms.groupBy("term").agg(F.count("weight").alias("df"), F.sum(F.col("weight").cast("decimal(20,6)")).alias("total"))
+    weight = F.col("weight") if "weight" in terms.columns else F.lit(1.0)
+    return terms.groupBy("term").agg(F.count(weight).alias("df"), F.sum(weight.cast("decimal(20,6)")).alias("total"))
 
 
 def vocabulary(terms: DataFrame, n_docs: int, min_df: int = 2, max_df_ratio: float = 0.4, cap: int = 0, bm25: bool = False) -> DataFrame:
@@ -61,6 +63,12 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equally long lists as a matrix."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def dimensions(vocab: DataFrame) -> DataFrame:
     """Rows (term, dim): positions by term. The vocabulary is small beside the corpus."""
     return vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("dim"))
@@ -77,7 +85,8 @@ def latent_space(vectors: DataFrame, vocab: DataFrame, dims: int = 150, seed: in
     spark = vectors.sparkSession
     index = dimensions(vocab)
     d = index.count()
-    rows = vectors.join(index, "term").groupBy("doc_id").agg(F.collect_list(F.struct("dim", "val")).alias("cells")).cache()
+    cells = F.sort_array(F.collect_list(F.struct("dim", "val")))
+    rows = vectors.join(index, "term").groupBy("doc_id").agg(cells.alias("cells")).select("doc_id", F.col("cells.dim").alias("dims"), F.col("cells.val").alias("vals")).persist()
     n = rows.count()
     least = min(n, d)
     if least == 0:
@@ -87,18 +96,33 @@ def latent_space(vectors: DataFrame, vocab: DataFrame, dims: int = 150, seed: in
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, wide)))[0]
 
     def gram_times(m: np.ndarray) -> np.ndarray:
-        """(A^T A) m, summed over blocks of documents in a tree."""
+        """(A^T A) m: each task adds up its documents, CHUNK terms of the sums are a row."""
         shared = spark.sparkContext.broadcast(m)
 
-        def block(cells) -> np.ndarray:
-            out = np.zeros_like(shared.value)
-            for (row,) in cells:
-                at = [c["dim"] for c in row]
-                v = np.array([c["val"] for c in row])
-                out[at] += np.outer(v, v @ shared.value[at])
-            return out
-
-        return rows.select("cells").rdd.mapPartitions(lambda it: [block(it)]).treeReduce(np.add)
+        def run(batches):
+            out, some = np.zeros_like(shared.value), False
+            for batch in batches:
+                for at, v, own in _blocks(batch):
+                    y = np.add.reduceat(v[:, None] * shared.value[at], own)  # A m, by document
+                    doc = np.repeat(np.arange(len(own)), np.diff(np.append(own, len(at))))
+                    order = np.argsort(at, kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+                    out[at[order][first]] += np.add.reduceat(v[order, None] * y[doc[order]], first)
+                    some = True
+            for lo in range(0, len(out) if some else 0, CHUNK):
+                yield pa.record_batch([pa.array([lo], pa.int32()), pa.array([out[lo : lo + CHUNK].tobytes()], pa.binary())], names=["at", "sums"])
+
+        def added(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(b.as_buffer()) for b in table.column("sums"))
+            return pa.table({"at": table.column("at")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        shape = "at int, sums binary"
+        parts = rows.select("dims", "vals").mapInArrow(run, shape).groupBy("at").applyInArrow(added, shape).toArrow()  # a matrix like m
+        out = np.zeros_like(m)
+        for lo, b in zip(parts.column("at").to_pylist(), parts.column("sums"), strict=True):
+            part = np.frombuffer(b.as_buffer()).reshape(-1, m.shape[1])
+            out[lo : lo + len(part)] = part
+        return out
 
     for _ in range(power + 1):
         basis = np.linalg.qr(gram_times(basis))[0]
@@ -110,14 +134,31 @@ def latent_space(vectors: DataFrame, vocab: DataFrame, dims: int = 150, seed: in
     kind = vectors.schema["doc_id"].dataType.simpleString()
 
     def project(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for cells in pdf["cells"]:
-                v = np.array([c["val"] for c in cells]) @ shared.value[[c["dim"] for c in cells]]
-                norm = float(np.sqrt(v @ v))
-                out.append((v / norm if norm > 0 else v).tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "vec": out})
-
-    return rows.mapInPandas(project, f"doc_id {kind}, vec array<double>")
+        for batch in batches:
+            ids, done = batch.column("doc_id"), 0
+            for at, v, own in _blocks(batch):
+                y = np.add.reduceat(v[:, None] * shared.value[at], own)
+                norm = np.sqrt((y * y).sum(axis=1, keepdims=True))
+                y /= np.where(norm > 0, norm, 1)
+                vec = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.record_batch([ids.slice(done, len(y)), vec], names=["doc_id", "vec"])
+                done += len(y)
+
+    return rows.mapInArrow(project, f"doc_id {kind}, vec array<double>")
+
+
+CHUNK, CELLS = 512, 1 << 14
+
+
+def _blocks(batch: pa.RecordBatch):
+    """(dims, values, start of each document) of about CELLS cells of whole documents; none is empty."""
+    dims, vals = batch.column("dims"), batch.column("vals")
+    size = dims.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at, v = dims.flatten().to_numpy(zero_copy_only=False), vals.flatten().to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(size):
+        lo = ends[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + CELLS, "right")))
+        yield at[lo : ends[j - 1]], v[lo : ends[j - 1]], ends[i:j] - size[i:j] - lo
+        i = j

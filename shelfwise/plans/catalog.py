@@ -323,7 +323,7 @@ def sparse_cosine(spark, sf_dir) -> DataFrame:
 def lsa(spark, sf_dir) -> DataFrame:
     t, n = _doc_terms(spark, sf_dir)
     vocab = vectors.vocabulary(t, n, cap=12_000).cache()
-    return vectors.latent_space(vectors.tfidf(t, vocab), vocab, dims=50)
+    return vectors.latent_space(vectors.tfidf(t, vocab), vocab)
 
 
 # --- clusters -----------------------------------------------------------------------------
@@ -433,12 +433,12 @@ def ward(spark, sf_dir) -> DataFrame:
 
 @query()
 def kmeans(spark, sf_dir) -> DataFrame:
-    return C.kmeans(space(spark, sf_dir).select("row_id", "vec"), 10, rounds=20)[0]
+    return C.kmeans(space(spark, sf_dir).select("row_id", "vec").persist(), 10)[0]
 
 
 @query()
 def consensus(spark, sf_dir) -> DataFrame:
-    return C.consensus(space(spark, sf_dir).select("row_id", "vec"), 10, runs=2)
+    return C.consensus(space(spark, sf_dir).select("row_id", "vec").persist(), 10, runs=2)[0]
 
 
 @query()
@@ -623,7 +623,7 @@ def readme_openings(spark, sf_dir) -> DataFrame:
 
 @query()
 def full_plan(spark, sf_dir) -> DataFrame:
-    """The whole way for documents: terms, vectors, latent space, clusters, refinement, names."""
+    """The whole way for documents, with the defaults: terms, vectors, clusters, names, merges."""
     from .pipeline import build_plan
 
-    return build_plan(document_corpus(spark, sf_dir), clusters=6)
+    return build_plan(document_corpus(spark, sf_dir))

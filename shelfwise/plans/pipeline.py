@@ -2,13 +2,55 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, naming, refine, tokens, vectors
 
 
-def embed(records: DataFrame, weights: tokens.Weights = tokens.Weights(), dims: int = 50, min_df: int = 2, max_df: float = 0.4, max_vocab: int = 12_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Settings:
+    """What decides a plan, with the values it is made with unless others are given."""
+
+    clusters: int = 0  # 0: Ward's tree is cut at max_lists; k-means searches by silhouette
+    algorithm: str = "agglomerative"  # or kmeans
+    dims: int = 150
+    min_df: int = 2
+    max_df: float = 0.4
+    max_vocab: int = 12_000
+    restarts: int = 4
+    min_cohesion: float = 0.36
+    max_lists: int = 32
+    merge_overlap: float = 0.3
+    min_coverage: float = 0.15
+    multi_list: int = 1
+    multi_ratio: float = 0.8
+
+    def check(self) -> None:
+        if self.algorithm not in ("agglomerative", "kmeans"):
+            raise ValueError(f"unknown algorithm {self.algorithm!r}: agglomerative or kmeans")
+        if self.max_lists < 1 or self.multi_list < 1:
+            raise ValueError("max_lists and multi_list must be 1 at least")
+
+    def table(self) -> dict[str, str]:
+        """As a plan records them."""
+        return {k: str(v) for k, v in asdict(self).items()}
+
+
+@dataclass(frozen=True)
+class Plan:
+    """categories (cluster, name, description, terms, lead, size, cohesion), members (row_id,
+    cluster, sim, rank: 0 for the first cluster of a row) and unassigned (row_id)."""
+
+    categories: DataFrame
+    members: DataFrame
+    unassigned: DataFrame
+    settings: dict[str, str]
+
+
+def embed(records: DataFrame, weights: tokens.Weights = tokens.Weights(), dims: int = 150, min_df: int = 2, max_df: float = 0.4, max_vocab: int = 12_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(terms, bigrams, space (row_id, vec)) of records; rows without a known term are left out."""
     topics = records.select(F.explode("topics").alias("topic"))
     terms, pairs = tokens.weighted_terms(records, weights, tokens.topic_index(topics))
@@ -21,30 +63,63 @@ def embed(records: DataFrame, weights: tokens.Weights = tokens.Weights(), dims:
     return terms, pairs, space.withColumnRenamed("doc_id", "row_id")
 
 
-def build_plan(records: DataFrame, clusters: int = 0, dims: int = 50, min_cohesion: float = 0.36, restarts: int = 1) -> DataFrame:
-    """Rows (cluster, name, description, size, cohesion, terms): the categories of a corpus.
-
-    Without a number of clusters the best silhouette between 6 and 32 decides. Large corpora
-    are clustered by k-means, small ones by Ward's method.
-    """
-    spark = records.sparkSession
-    terms, pairs, space = embed(records, dims=dims)
+def make_plan(records: DataFrame, settings: Settings = Settings()) -> Plan:
+    """Categories of records: embedded, clustered, refined, merged where named alike, without
+    those their name does not cover, and with further lists for rows that are nearly as close."""
+    settings.check()
+    spark, s = records.sparkSession, settings
+    records = tokens.spread(records).persist()
+    terms, pairs, space = embed(records, dims=s.dims, min_df=s.min_df, max_df=s.max_df, max_vocab=s.max_vocab)
     space = space.persist()
-    k = clusters or cluster.search_k(space, 6, 32)
-    small = space.count() <= cluster.WARD_ROWS
-    found = cluster.ward(space, k) if small else cluster.kmeans_best(space, k, restarts)
+    if s.algorithm == "kmeans":
+        found = cluster.kmeans_best(space, s.clusters or cluster.search_k(space, 6, s.max_lists), s.restarts)
+    else:
+        found = cluster.ward(space, s.clusters or s.max_lists)
     members = space.join(found, "row_id").select("row_id", "cluster", "vec")
-    final = refine.refined(members, min_cohesion=min_cohesion).where("cluster is not null")
-    assigned = final.select(F.col("row_id").alias("doc_id"), "cluster").persist()
-    scores = naming.class_scores(terms, pairs, assigned)
+    refined = refine.refined(members, min_cohesion=s.min_cohesion, max_lists=s.max_lists).where("cluster is not null")
+    now = refined.select(F.col("row_id").alias("doc_id"), "cluster").persist()
+    sizes = dict(now.groupBy("cluster").count().collect())  # at most max_lists rows
+    if not sizes:
+        raise ValueError("no category survived refinement: lower min_cohesion or raise max_lists")
     toks = tokens.tokenized(records, "description", ["doc_id"])
-    surfaces = naming.modal(toks.select("term", "surface"), "term", "surface").select("term", "surface")
-    cased = naming.distinctive_casing(toks.select(F.lower("raw").alias("word"), F.col("raw").alias("written")))
-    labels = naming.labels(scores, surfaces, cased)
-    table = spark.createDataFrame([(x["cluster"], x["name"], x["description"], x["terms"]) for x in labels], "cluster int, name string, description string, terms array<string>")
-    placed = space.join(final, "row_id")
-    sizes = cluster.cohesions(cluster.similarities(placed, cluster.centroids(placed)))
-    return sizes.join(table, "cluster").select("cluster", "name", "description", "size", "cohesion", "terms")
+    surfaces = naming.modal(toks.select("term", "surface"), "term", "surface").select("term", "surface").persist()
+    cased = naming.distinctive_casing(toks.select(F.lower("raw").alias("word"), F.col("raw").alias("written"))).persist()
+    weights = naming.weighed(terms, pairs).persist()
+
+    def named(assigned: DataFrame) -> list[dict]:
+        return naming.labels(naming.shares(naming.class_sums(weights, assigned)), surfaces, cased)
+
+    def numbered(assigned: DataFrame, number: dict[int, int]) -> DataFrame:
+        table = spark.createDataFrame(list(number.items()), "cluster int, number int")
+        return assigned.join(F.broadcast(table), "cluster").select("doc_id", F.col("number").alias("cluster")).persist()
+
+    per = naming.class_sums(weights, now).persist()
+    now = numbered(now, naming.merged(per, sizes, surfaces, cased, s.merge_overlap))
+    labels = named(now)
+    if s.min_coverage > 0:
+        leads = spark.createDataFrame([(x["cluster"], x["lead"]) for x in labels], "cluster int, lead string")
+        held = weights.where("w > 0").select("doc_id", "term")
+        covered = naming.name_coverage(now, held, leads).collect()  # a row a cluster
+        kept = sorted((-r["size"], r["cluster"]) for r in covered if r["coverage"] >= s.min_coverage)
+        if len(kept) < len(covered):
+            number = {c: i for i, (_, c) in enumerate(kept)}
+            now = numbered(now, number) if number else now.limit(0)
+            labels = named(now)
+    placed = space.join(now.withColumnRenamed("doc_id", "row_id"), "row_id").select("row_id", "cluster", "vec")
+    centres = cluster.centroids(placed).persist()
+    sims = cluster.similarities(placed, centres)
+    members = sims.select("row_id", "cluster", "sim", F.lit(0).alias("rank"))
+    if s.multi_list > 1:
+        members = members.unionByName(refine.softened(placed, centres, s.multi_ratio, s.multi_list).select("row_id", "cluster", "sim", F.col("rank").cast("int").alias("rank")))
+    table = spark.createDataFrame([(x["cluster"], x["name"], x["description"], x["terms"], x["lead"]) for x in labels], "cluster int, name string, description string, terms array<string>, lead string")
+    categories = cluster.cohesions(sims).join(table, "cluster").select("cluster", "name", "description", "terms", "lead", "size", "cohesion")
+    unassigned = records.select(F.col("doc_id").alias("row_id")).join(now.select(F.col("doc_id").alias("row_id")), "row_id", "left_anti")
+    return Plan(categories, members, unassigned, s.table())
+
+
+def build_plan(records: DataFrame, **settings) -> DataFrame:
+    """The categories of `make_plan`."""
+    return make_plan(records, Settings(**settings)).categories
 
 
 def extend_plan(space: DataFrame, decided: DataFrame) -> DataFrame:

@@ -200,3 +200,74 @@ def test_stream_places_each_row_once(spark, tmp_path):
         place_stream(stream, centres, floors, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("row_id", "cluster").collect()
     assert sorted(map(tuple, got)) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+
+
+def test_plan_merges_names_and_covers(spark):
+    from shelfwise.plans.pipeline import Settings, make_plan
+
+    kinds = [
+        ("orchard pruning apple trees", "pears and plums in winter frost"),
+        ("harbour pilot tug boats", "tide tables of northern quays"),
+        ("violin strings bow rosin", "luthier varnish and old spruce"),
+    ]
+    rows = [(i, f"o{i % 5}", f"r{i}", f"{kinds[i % 3][0]} {kinds[i % 3][1].split()[i % 5]} {kinds[i % 3][1].split()[(i + 2) % 5]}", []) for i in range(48)]
+    rows += [(100 + i, "o9", f"x{i}", " ".join(f"odd{(i * 7 + j * 13) % 41}word" for j in range(6)), []) for i in range(3)]
+    records = spark.createDataFrame(rows, "doc_id long, owner string, name string, description string, topics array<string>")
+    plan = make_plan(records, Settings(clusters=6, dims=8, multi_list=2))
+    cats = {r["cluster"]: r for r in plan.categories.collect()}
+    members = plan.members.collect()
+    first = {r["row_id"]: r["cluster"] for r in members if r["rank"] == 0}
+    assert sorted(cats) == list(range(len(cats))) and len(cats) >= 3
+    sizes = [cats[c]["size"] for c in sorted(cats)]
+    assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(first)
+    low = [{t.lower() for t in cats[c]["terms"]} for c in sorted(cats)]
+    assert all(len(a & b) < 0.3 * len(a | b) for i, a in enumerate(low) for b in low[i + 1 :])
+    for c in cats:  # no category holds two kinds
+        assert len({i % 3 for i, own in first.items() if own == c and i < 100}) <= 1
+    left = {r["row_id"] for r in plan.unassigned.collect()}
+    assert left | set(first) == {r[0] for r in rows} and not left & set(first)
+    assert len({cats[c]["name"].lower() for c in cats}) == len(cats) and plan.settings["merge_overlap"] == "0.3"
+
+
+def test_labels_look_further_when_terms_are_passed_over(spark):
+    scores = spark.createDataFrame([(0, f"w{i:03d}", 1.0 / (i + 1), 1.0) for i in range(60)], "cluster int, term string, score double, weight double")
+    shown = spark.createDataFrame([(f"w{i:03d}", "todo" if i < 50 else f"word{i}") for i in range(60)], "term string, surface string")
+    none = spark.createDataFrame([], "word string, written string")
+    assert naming.labels(scores, shown, none)[0]["terms"] == [f"Word{i}" for i in range(50, 56)]
+
+
+def test_merged_labels_take_the_last_of_equal_pairs():
+    found = [{"cluster": c, "terms": t} for c, t in enumerate((["a", "b"], ["A", "b"], ["c"], ["B", "a"]))]
+    assert naming.closest(found, 0.3) == (1, 3) and naming.closest(found[1:3], 0.3) is None
+
+
+def test_kmeans_search_and_consensus(spark):
+    rng = np.random.default_rng(4)
+    centres = np.eye(8)[:6]
+    x = np.repeat(centres, 12, axis=0) + 0.05 * rng.standard_normal((72, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").cache()
+    want = {frozenset(range(12 * c, 12 * c + 12)) for c in range(6)}
+
+    def groups(rows):
+        out = {}
+        for r in rows.collect():
+            out.setdefault(r["cluster"], set()).add(r["row_id"])
+        return {frozenset(g) for g in out.values()}
+
+    assert C.search_k(space, 5, 8) == 6
+    assert groups(C.kmeans_best(space, 6)) == want
+    found, middle, score = C.consensus(space, 6)
+    assert groups(found) == want and score > 0.9
+    by_hand = {tuple(np.round(x[sorted(g)].sum(0) / np.linalg.norm(x[sorted(g)].sum(0)), 6)) for g in want}
+    assert {tuple(np.round(r["vec"], 6)) for r in middle.collect()} == by_hand
+
+
+def test_ward_over_weighted_points(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(5)[:4], 20, axis=0) + 0.03 * rng.standard_normal((80, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").cache()
+    monkeypatch.setattr(C, "WARD_ROWS", 12)
+    out = {r["row_id"]: r["cluster"] for r in C.ward(space, 4).collect()}
+    assert len(out) == 80 and len({(out[i], i // 20) for i in out}) == 4
