@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, free_names, named, others, ranges_for, shape_of, stash
+from .tables import Scratch, named, others, ranges_for, safe, shape_of, stash
 from .words import Prefix, mix, slices, utf8
 
 ANCHOR = 64
@@ -434,10 +434,9 @@ def without_repeats(docs: DataFrame, width: int = 200, text_col: str = "text", c
     """
     stats = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
     carry = others(docs, text_col, *stats) if carry is None else carry
-    digest, whole, spans, text = free_names(carry, "digest", "whole", "spans", "text")
-    base = docs.select(*map(named, carry), F.coalesce(named(text_col).cast("string"), F.lit("")).alias(text))
-    found = repeated_spans(docs, width, text_col).select(F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("spans").alias(spans))
-    joined = base.withColumn(digest, F.unhex(F.md5(text))).join(found, digest, "left")
-    joined = joined.select(*map(named, carry), F.coalesce(F.col(whole), F.lit(False)).alias(whole), spans, text)
+    found = repeated_spans(docs, width, text_col)
+    base = docs.select(*safe(carry), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    joined = base.withColumn("digest", F.unhex(F.md5("text"))).join(found, "digest", "left")
+    joined = joined.select(*[f"c{i}" for i in range(len(carry))], F.coalesce("whole", F.lit(False)).alias("whole"), "spans", "text")
     shape = shape_of(docs, carry, stats)
     return joined.mapInArrow(_cut(shape.names), shape)

@@ -112,9 +112,15 @@ def others(df: DataFrame, text_col: str, *results: str) -> list[str]:
 
 
 def text_rows(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """The columns `carry`, whatever their names, and as the last one the text as a string."""
-    (text,) = free_names(carry, "text")
-    return docs.select(*map(named, carry), named(text_col).cast("string").alias(text))
+    """The columns `carry` as c0, c1, ..., and as the last one, `text`, the text as a string.
+
+    Functions over Arrow batches take their columns by place: Spark does not take all names.
+    """
+    return docs.select(*safe(carry), named(text_col).cast("string").alias("text"))
+
+
+def safe(carry: list[str]) -> list[Column]:
+    return [named(c).alias(f"c{i}") for i, c in enumerate(carry)]
 
 
 def shape_of(docs: DataFrame, carry: list[str], more: dict[str, str]) -> T.StructType:
