@@ -162,6 +162,23 @@ def rounded(x: Column) -> Column:
     return ((x * 1000 + 0.5).cast("long") / 1000).cast("double")
 
 
+def truncated(s: Column, n: int) -> Column:
+    """The first n characters, without white space at the ends."""
+    return F.trim(F.substring(s, 1, n), F.lit(" \t\n\r"))
+
+
+def one_line(s: Column) -> Column:
+    """Line breaks as spaces, without white space at the ends."""
+    return F.trim(F.translate(s, "\n\r", "  "), F.lit(" \t"))
+
+
+def stars(n: Column) -> Column:
+    """A count for an index: nothing up to 0, as it is below 1000, else thousands."""
+    tenths = F.floor((n + 50) / 100)
+    shown = F.when(n < 1000, n.cast("string")).otherwise(F.concat_ws(".", F.floor(tenths / 10).cast("string"), F.concat((tenths % 10).cast("string"), F.lit("k"))))
+    return F.when(n > 0, F.concat(F.lit(" `★"), shown, F.lit("`"))).otherwise("")
+
+
 def cap_bytes(s: str, limit: int) -> str:
     """At most `limit` bytes, cut after a word, or between characters of a long one."""
     data = s.encode()

@@ -38,7 +38,18 @@ def stale_report(records: DataFrame, cutoff: Column, show: int = 10) -> DataFram
     return records.where(F.col("pushed_at") < cutoff).orderBy("pushed_at", "id").limit(show)
 
 
+def flat_names(only: list[str]) -> list[str]:
+    """The distinct names of a flag that may be repeated and hold commas, in lower case."""
+    return sorted({part.strip().lower() for value in only for part in value.split(",")} - {""})
+
+
 def selected(categories: DataFrame, only: list[str]) -> DataFrame:
-    """Categories named in `only` (repeated, comma-separated, any case); all when empty."""
-    names = sorted({part.strip().lower() for value in only for part in value.split(",")} - {""})
-    return categories.where(F.lower(F.trim("name")).isin(names)) if names else categories
+    """Categories named in `only` (any case), the largest first; all, as they come, when empty.
+
+    Categories without a column `size` are not put in order.
+    """
+    names = flat_names(only)
+    if not names:
+        return categories
+    found = categories.where(F.lower(F.trim("name")).isin(names))
+    return found.orderBy(F.desc("size"), "name") if "size" in categories.columns else found

@@ -13,7 +13,10 @@ from .cluster import centroids, cohesions, similarities
 from .vectors import dot
 
 
-def fit_floors(sims: DataFrame, min_sim: float = 0.05, sigmas: float = 3.0) -> DataFrame:
+MIN_SIM = 0.05
+
+
+def fit_floors(sims: DataFrame, min_sim: float = MIN_SIM, sigmas: float = 3.0) -> DataFrame:
     """Rows (cluster, floor): below it a member is an outlier.
 
     With four members and some spread: max(min_sim, min(median - sigmas * MAD, median - 0.4

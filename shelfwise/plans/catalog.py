@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -612,9 +612,147 @@ def list_conflicts(spark, sf_dir) -> DataFrame:
 @query(f"""with {_REMOTE}, ok as (select * from want where key in (select lower(name) from ours) or key not in (select lower(name) from lists)),
 log as (select 'add' as action, * from (select * from ok except select * from cur) union all select 'remove', * from stale where key in (select key from ok)) select * from log""")
 def apply_log(spark, sf_dir) -> DataFrame:
+    return sync.apply(*remote(spark, sf_dir), sync.Options(reconcile=True))[1]
+
+
+_OK = "ok as (select * from want where key in (select lower(name) from ours) or key not in (select lower(name) from lists))"
+
+
+@query(f"with {_REMOTE}, {_OK} select 'add' as action, * from (select * from ok except select * from cur)")
+def apply_additions(spark, sf_dir) -> DataFrame:
     return sync.apply(*remote(spark, sf_dir))[1]
 
 
+@query(f"with {_REMOTE}, {_OK}, a as (select * from ok except select * from cur) select 'add' as action, key, full_name from a qualify dense_rank() over (order by full_name) <= 40")
+def apply_capped(spark, sf_dir) -> DataFrame:
+    return sync.apply(*remote(spark, sf_dir), sync.Options(limit=40))[1]
+
+
+@query(f"with {_REMOTE} select 'add' as action, key, full_name from adds")
+def apply_adopting(spark, sf_dir) -> DataFrame:
+    return sync.apply(*remote(spark, sf_dir), sync.Options(adopt=True))[1]
+
+
+@query(f"with {_REMOTE}, a as (select * from adds where key = 'en') select 'add' as action, key, full_name from a union all select 'remove', key, full_name from stale where key = 'en'")
+def apply_selected(spark, sf_dir) -> DataFrame:
+    return sync.apply(*remote(spark, sf_dir), sync.Options(only=(" EN,",), reconcile=True))[1]
+
+
+@query(f"with {_REMOTE}, {_OK} select key, full_name, false as list_missing from (select * from ok except select * from cur)")
+def verify_applied(spark, sf_dir) -> DataFrame:
+    state = remote(spark, sf_dir)
+    return sync.verified(*state, sync.applied(*state))
+
+
+@query(f"with {_REMOTE}, {_OK}, a as (select * from ok except select * from cur) select key, full_name, false as list_missing from a qualify dense_rank() over (order by full_name) <= 40")
+def verify_capped(spark, sf_dir) -> DataFrame:
+    state = remote(spark, sf_dir)
+    return sync.verified(*state, sync.applied(*state, sync.Options(limit=40)))
+
+
+@query("""with a as (select distinct 'o/' || o_custkey as full_name from orders), k as (select 'o/' || c_custkey as full_name, 'R-' || c_custkey as repo_id from customer where c_acctbal >= 0)
+select full_name, repo_id from a left join k using (full_name)""")
+def resolved_ids(spark, sf_dir) -> DataFrame:
+    return sync.resolved(*_asked(spark, sf_dir))
+
+
+@query("""with a as (select distinct 'o/' || o_custkey as full_name from orders) select full_name from a where full_name not in (select 'o/' || c_custkey from customer where c_acctbal >= 0)""")
+def unresolved_names(spark, sf_dir) -> DataFrame:
+    return sync.unresolved(*_asked(spark, sf_dir))
+
+
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Names asked for, and the answers: those who owe money are unknown."""
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), F.col("o_custkey").cast("string")).alias("full_name"))
+    who = F.col("c_custkey").cast("string")
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("o/"), who).alias("full_name"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("R-"), who)).otherwise("").alias("repo_id"))
+    return names, known
+
+
+@query(f"""with {_REMOTE}, {_OK}, a as (select * from ok except select * from cur), k as (select full_name from d where n_chars >= 500)
+select full_name, case when full_name not in (select full_name from k) then 'unknown: renamed or deleted?' when full_name like '%1' then 'refused' end as error from (select distinct full_name from a)""")
+def written_sets(spark, sf_dir) -> DataFrame:
+    """What a sink makes of the changes that takes four sets at once and refuses some names."""
+    d = table(spark, sf_dir, "documents").where("n_chars >= 500")
+    name = F.concat_ws("/", "source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+
+    def sink(batch):
+        if len(batch) > 4:
+            raise sync.TooLarge
+        return {full_name: "refused" for _, full_name, _ in batch if full_name.endswith("1")}
+
+    return sync.written(sync.applied(*remote(spark, sf_dir)), d.select(name.alias("full_name"), F.col("doc_id").cast("string").alias("repo_id")), sink)
+
+
+@query("select lang as name, count(*) as size from documents where lang in ('en', 'de') group by 1")
+def selected_categories(spark, sf_dir) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("size"))
+    return filters.selected(sizes, [" EN ,de", "De"])
+
+
+@query("select text as text, 'doc-' || doc_id as full_name from documents where text <> ''")
+def embedded_texts(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return snapshots.embedded_texts(d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("full_name"), F.col("text").alias("readme")))
+
+
+@query("""select n_name as full_name, case n_regionkey when 0 then ' ' when 1 then ' ' when 2 then null else 'about ' || n_name end as text,
+case n_regionkey when 1 then 'unavailable' when 2 then 'failed' else 'fetched' end as outcome from nation""")
+def fetched_texts(spark, sf_dir) -> DataFrame:
+    """Texts of nations: of the first region they are empty, of two others they fail."""
+    n = table(spark, sf_dir, "nation")
+    region = {r["n_name"]: r["n_regionkey"] for r in n.collect()}  # 25 rows
+
+    def fetch(name: str) -> str:
+        if region[name] == 1:
+            raise snapshots.Unavailable
+        if region[name] == 2:
+            raise TimeoutError
+        return f"about {name}" if region[name] else ""
+
+    return snapshots.fetched_texts(n.select(F.col("n_name").alias("full_name")), fetch, 4)
+
+
+def _plan_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions as categories, suppliers as members by balance, customers in debt as unassigned."""
+    cats = table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 1).alias("position"), F.col("r_name").alias("name"), F.lower("r_name").alias("description"), F.array("r_name", F.lower("r_name")).alias("terms"), (F.col("r_regionkey") / 4).alias("cohesion"), (F.col("r_regionkey") < 2).alias("exists")
+    )
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    members = s.select((F.col("n_regionkey") + 1).alias("position"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("s_suppkey")).alias("at"), F.col("s_name").alias("full_name"), F.floor("s_acctbal").cast("int").alias("stars"), F.col("n_name").alias("description"), F.lit(0.25).alias("similarity"))
+    c = table(spark, sf_dir, "customer").where("c_acctbal < -500")
+    return cats, members, c.select(F.row_number().over(Window.orderBy("c_custkey")).alias("at"), F.col("c_name").alias("full_name"), F.lit(0).alias("stars"))
+
+
+_PLAN_TABLES = """
+m as (select n_regionkey + 1 as position, row_number() over (partition by n_regionkey order by s_suppkey) as "at", s_name as full_name, cast(floor(s_acctbal) as int) as stars, n_name as description from supplier join nation on s_nationkey = n_nationkey),
+u as (select row_number() over (order by c_custkey) as "at", c_name as full_name from customer where c_acctbal < -500),
+z as (select position, count(*) as n from m group by 1),
+c as (select r_regionkey + 1 as position, r_name as name, r_regionkey / 4 as cohesion, r_regionkey < 2 as there, coalesce(n, 0) as n from region left join z on z.position = r_regionkey + 1)
+"""
+_LAST = 2**62
+
+
+@query(f"""with {_PLAN_TABLES}
+select 0 as section, 0 as "at", '# me: ' || ((select count(*) from m) + (select count(*) from u)) || ' records in ' || (select count(*) from c) || ' categories (lsa)' as line
+union all select position + 1, 0, '## ' || name || ' (' || n || ')' || chr(10) || chr(10) || lower(name) from c
+union all select position + 1, "at", '- ' || full_name || case when stars <= 0 then '' when stars < 1000 then ' `★' || stars || '`' else ' `★' || ((stars + 50) // 1000) || '.' || ((stars + 50) // 100 % 10) || 'k`' end || ' — ' || description from m
+union all select {_LAST}, 0, '## Uncategorized (' || count(*) || ')' from u having count(*) > 0
+union all select {_LAST}, "at", '- ' || full_name from u""")
+def plan_markdown(spark, sf_dir) -> DataFrame:
+    return plan.markdown(*_plan_tables(spark, sf_dir), "me", "lsa")
+
+
+@query(f"""with {_PLAN_TABLES}
+select position as section, 0 as "at", printf('  %-34s %3d repos  cohesion %.2f', name, n, cohesion) || case when there then '  (exists)' else '  (new)' end || chr(10) || repeat(' ', 37) || name || ', ' || lower(name) as line from c where position <= 3
+union all select position, "at", case when "at" = 6 then '      … and ' || (n - 5) || ' more' else '      ' || rpad(full_name, 44, ' ') || ' 0.25' end from m join z using (position) where position <= 3 and "at" <= 6
+union all select {_LAST}, 0, '  ' || count(*) || ' stars fit no category well enough to place:' from u having count(*) > 0
+union all select {_LAST}, "at", case when "at" = 11 then '      … and ' || ((select count(*) from u) - 10) || ' more' else '      ' || full_name end from u where "at" <= 11
+union all select {2**61}, 0, '  … and 2 more categories'""")
+def plan_listing(spark, sf_dir) -> DataFrame:
+    return plan.listing(*_plan_tables(spark, sf_dir), limit=3)
+
+
 @query()
 def readme_openings(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

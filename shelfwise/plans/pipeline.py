@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cluster, naming, refine, tokens, vectors
@@ -132,3 +132,38 @@ def extend_plan(space: DataFrame, decided: DataFrame) -> DataFrame:
     new = space.join(decided.select("row_id"), "row_id", "left_anti")
     centres = cluster.centroids(members)
     return refine.placed(new, centres, refine.fit_floors(cluster.similarities(members, centres)))
+
+
+def extended(space: DataFrame, listed: DataFrame, unassigned: DataFrame, prev: DataFrame, settings: Settings, kept: dict[str, str], made_at: str) -> Plan:
+    """A plan brought up to date with rows that it has not decided on; nothing else moves.
+
+    listed(row_id, cluster): memberships of the plan before, cluster the place of the category.
+    A row's first category is its own, further ones are secondary and stay. Centroids are of
+    all members, floors of first ones. Rows of `space` neither listed nor in unassigned(row_id)
+    are placed, with further lists if `settings` says so; rows gone from `space` vanish.
+    prev(cluster, name, description, terms, lead): names and descriptions stay as they are.
+    The settings are those the plan was made with, `kept`, and what took part in placing.
+    """
+    if prev.isEmpty():
+        raise ValueError("the plan has no categories to extend")
+    first = listed.groupBy("row_id").agg(F.min("cluster").alias("own"))
+    known = space.join(listed.distinct(), "row_id").join(first, "row_id").select("row_id", "cluster", "own", "vec")
+    centres = cluster.centroids(known.select("row_id", "cluster", "vec")).persist()
+    sims = cluster.similarities(known.select("row_id", "cluster", "vec"), centres)
+    sims = sims.select("row_id", "cluster", "sim").join(first, "row_id").persist()
+    fitted = refine.fit_floors(sims.where("cluster = own").select("row_id", "cluster", "sim"))
+    floors = centres.select("cluster").join(fitted, "cluster", "left").select("cluster", F.coalesce("floor", F.lit(refine.MIN_SIM)).alias("floor"))
+    decided = listed.select("row_id").union(unassigned.select("row_id")).distinct()
+    new = space.join(decided, "row_id", "left_anti").select("row_id", "vec")
+    found = refine.placed(new, centres, floors).persist()
+    w = Window.partitionBy("row_id").orderBy("cluster")
+    old = sims.select("row_id", "cluster", "sim", (F.row_number().over(w) - 1).cast("int").alias("rank"))
+    members = old.unionByName(found.select("row_id", "cluster", "sim", F.lit(0).alias("rank")))
+    if settings.multi_list > 1:
+        more = refine.softened(new.join(found, "row_id").select("row_id", "cluster", "vec"), centres, settings.multi_ratio, settings.multi_list)
+        members = members.unionByName(more.select("row_id", "cluster", "sim", F.col("rank").cast("int").alias("rank")))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("sim").alias("cohesion"))
+    cats = prev.select("cluster", "name", "description", "terms", "lead").join(sizes, "cluster")
+    left = space.select("row_id").join(members.select("row_id").distinct(), "row_id", "left_anti")
+    noted = {"incremental": "true", "incremental-from": made_at, "place-multi-list": str(settings.multi_list), "place-multi-list-ratio": str(settings.multi_ratio)}
+    return Plan(cats, members, left, kept | noted)

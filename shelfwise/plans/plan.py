@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import rounded
+from ..functions.text import one_line, rounded, stars
 from ..operators.naming import MARKER, MAX_DESCRIPTION, MAX_NAME
 
 VERSION = 1
@@ -108,13 +108,73 @@ def placements_of(plan: DataFrame) -> DataFrame:
     return cats.select(F.col("c.name").alias("category"), F.explode("c.repos").alias("r")).select("category", "r.full_name", "r.similarity", "r.stars")
 
 
-def markdown(cats: list[dict], show: int = 10) -> str:
-    """A plan as Markdown: a heading for each category and its first members."""
-    out = []
-    for c in cats:
-        out.append(f"## {c['name']} ({len(c['repos'])})\n")
-        out += [f"- {name}" for name in c["repos"][:show]]
-        if len(c["repos"]) > show:
-            out.append(f"- … and {len(c['repos']) - show} more")
-        out.append("")
-    return "\n".join(out)
+def _cut(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows up to place `most` (all, if 0), and the next with `rest`, the number of the others."""
+    if most <= 0:
+        return rows.withColumn("rest", F.lit(0).cast("long"))
+    few = rows.where(F.col("at") <= most + 1).join(sizes, "position")
+    return few.withColumn("rest", F.when(F.col("at") > most, F.col("n") - most).otherwise(0))
+
+
+def markdown(cats: DataFrame, members: DataFrame, unassigned: DataFrame, user: str, backend: str) -> DataFrame:
+    """Rows (section, at, line), in that order the lines of a plan's index as Markdown.
+
+    cats(position, name, description), members(position, at, full_name, stars, description; at
+    from 1 in each category), unassigned(at, full_name, stars). Section 0 is the head, category
+    p is section p + 1, what is unassigned comes after all categories. No row meets another
+    but to be counted, so an index may be as long as its table.
+    """
+    said = F.col("description")
+    text = F.when(F.coalesce(said, F.lit("")) != "", F.concat(F.lit(" — "), one_line(said))).otherwise("")
+    item = F.concat(F.lit("- "), "full_name", stars(F.coalesce("stars", F.lit(0))))
+    rows = members.select((F.col("position") + 1).cast("long").alias("section"), F.col("at").cast("long").alias("at"), F.concat(item, text).alias("line"))
+    sizes = members.groupBy("position").agg(F.count("*").alias("n"))
+    heads = cats.join(sizes, "position", "left").select(
+        (F.col("position") + 1).cast("long").alias("section"),
+        F.lit(0).cast("long").alias("at"),
+        F.concat(F.lit("## "), "name", F.lit(" ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")\n\n"), F.coalesce("description", F.lit(""))).alias("line"),
+    )
+    last = F.lit(2**62)
+    rest = unassigned.select(last.alias("section"), F.col("at").cast("long").alias("at"), item.alias("line"))
+    n_rest = unassigned.agg(F.count("*").alias("n"))
+    rest_head = n_rest.where("n > 0").select(last.alias("section"), F.lit(0).cast("long").alias("at"), F.format_string("## Uncategorized (%d)", "n").alias("line"))
+    total = members.select("full_name").union(unassigned.select("full_name")).agg(F.countDistinct("full_name").alias("n")).join(cats.agg(F.count("*").alias("k")), how="cross")
+    top = total.select(F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("at"), F.format_string(f"# {_escaped(user)}: %d records in %d categories ({_escaped(backend)})", "n", "k").alias("line"))
+    return top.unionByName(heads).unionByName(rows).unionByName(rest_head).unionByName(rest)
+
+
+def _escaped(s: str) -> str:
+    return s.replace("%", "%%")
+
+
+def listing(cats: DataFrame, members: DataFrame, unassigned: DataFrame, verbose: bool = False, limit: int = 0) -> DataFrame:
+    """Rows (section, at, line): a plan for the terminal, 5 members of each category and 10 of
+    the unassigned unless `verbose`, the first `limit` categories if that is above 0.
+
+    cats(position, name, terms, cohesion, exists), members(position, at, full_name,
+    similarity), unassigned(at, full_name); positions and places start from 1.
+    """
+    sizes = members.groupBy("position").agg(F.count("*").alias("n"))
+    shown = cats if limit <= 0 else cats.where(F.col("position") <= limit)
+    state = F.when(F.col("exists"), "exists").otherwise("new")
+    head = F.format_string("  %-34s %3d repos  cohesion %.2f  (%s)\n  %-34s %s", "name", F.coalesce("n", F.lit(0)), "cohesion", state, F.lit(""), F.array_join("terms", ", "))
+    heads = shown.join(sizes, "position", "left").select(F.col("position").cast("long").alias("section"), F.lit(0).cast("long").alias("at"), head.alias("line"))
+    more = F.concat(F.lit("      … and "), F.col("rest").cast("string"), F.lit(" more"))
+    rows = _cut(members.join(shown.select("position"), "position"), sizes, 0 if verbose else 5)
+    item = F.when(F.col("rest") > 0, more).otherwise(F.format_string("      %-44s %.2f", "full_name", "similarity"))
+    rows = rows.select(F.col("position").cast("long").alias("section"), F.col("at").cast("long").alias("at"), item.alias("line"))
+    last = F.lit(2**62)
+    n = unassigned.agg(F.count("*").alias("n")).where("n > 0")
+    loose = _cut(unassigned.withColumn("position", last), n.withColumn("position", last), 0 if verbose else 10)
+    loose = loose.select(last.alias("section"), F.col("at").cast("long").alias("at"), F.when(F.col("rest") > 0, more).otherwise(F.concat(F.lit("      "), "full_name")).alias("line"))
+    loose_head = n.select(last.alias("section"), F.lit(0).cast("long").alias("at"), F.format_string("  %d stars fit no category well enough to place:", "n").alias("line"))
+    out = heads.unionByName(rows).unionByName(loose_head).unionByName(loose)
+    if limit > 0:
+        hidden = cats.agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        out = out.unionByName(hidden.select(F.lit(2**61).alias("section"), F.lit(0).cast("long").alias("at"), F.format_string("  … and %d more categories", F.col("n") - limit).alias("line")))
+    return out
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines in order as one text file: a plan's index is read by people."""
+    lines.orderBy("section", "at").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -147,7 +147,8 @@ def state(spark):
 
 def test_sync(spark):
     wanted, lists, mem = state(spark)
-    after, log = sync.apply(wanted, lists, mem)
+    assert {tuple(r) for r in sync.apply(wanted, lists, mem)[1].collect()} == {("add", "kubernetes", "b/k3s"), ("add", "rust", "c/tokio")}
+    after, log = sync.apply(wanted, lists, mem, sync.Options(reconcile=True))
     assert {tuple(r) for r in log.collect()} == {("add", "kubernetes", "b/k3s"), ("add", "rust", "c/tokio"), ("remove", "kubernetes", "z/stale")}
     assert {r["full_name"]: r["keys"] for r in sync.desired_sets(wanted, lists, mem).collect()} == {"b/k3s": ["kubernetes", "mine"], "c/tokio": ["rust"], "z/stale": []}
     assert [r["name"] for r in sync.dropped_lists(wanted, lists).collect()] == ["Old"]
@@ -165,7 +166,118 @@ def test_sync_options(spark):
         sync.Options(limit=1, reconcile=True).check()
     with pytest.raises(ValueError):
         sync.Options(force=True, only=("a",)).check()
-    assert sync.apply(*state(spark), sync.Options(limit=2))[1].count() == 2
+    assert sync.apply(*state(spark), sync.Options(limit=1))[1].count() == 1
+    with pytest.raises(ValueError):
+        sync.apply(*state(spark), sync.Options(only=("Nothing",)))
+    with pytest.raises(ValueError):
+        sync.applied(*state(spark), most=3)
+    run = sync.applied(*state(spark), sync.Options(force=True), most=3)
+    assert [r["name"] for r in run.deleted.collect()] == ["Old"] and [r["key"] for r in run.created.collect()] == ["rust"]
+    run = sync.applied(*state(spark), sync.Options(reconcile=True, only=("rust",)))
+    assert run.deleted.count() == 0 and {tuple(r) for r in run.log.collect()} == {("add", "rust", "c/tokio")}
+
+
+def test_adopting_and_conflicts(spark):
+    wanted, lists, mem = state(spark)
+    wanted = wanted.union(spark.createDataFrame([("mine", "q/r")], wanted.schema))
+    run = sync.applied(wanted, lists, mem)
+    assert [r["key"] for r in run.conflicts.collect()] == ["mine"]
+    assert ("add", "mine", "q/r") not in {tuple(r) for r in run.log.collect()}
+    assert all(r["key"] != "mine" for r in sync.verified(wanted, lists, mem, run).collect())
+    run = sync.applied(wanted, lists, mem, sync.Options(adopt=True, reconcile=True))
+    assert {("add", "mine", "q/r"), ("remove", "mine", "b/k3s")} <= {tuple(r) for r in run.log.collect()}
+
+
+def test_batches_are_halved_and_failures_kept_apart():
+    calls = []
+
+    def sink(batch):
+        calls.append(len(batch))
+        if len(batch) > 2 or batch[0][1] == "x2":
+            raise sync.TooLarge("much")
+        return {"x1": "gone"} if any(name == "x1" for _, name, _ in batch) else {}
+
+    rows = [(str(i), f"x{i}", ["a"]) for i in range(5)]
+    assert sync.sent(rows, sink) == {"x1": "gone", "x2": "much"}
+    assert calls == [5, 2, 3, 1, 2]
+
+
+def test_verification_reports_missing_lists_once(spark):
+    wanted, lists, mem = state(spark)
+    got = {tuple(r) for r in sync.verified(wanted, lists, mem, sync.applied(wanted, lists, mem)).collect()}
+    assert got == {("kubernetes", "b/k3s", False), ("rust", None, True)}
+
+
+def test_snapshots_load(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    path, now, day = str(tmp_path / "snap"), datetime(2024, 3, 1), timedelta(days=1)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), "text") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, starred_at timestamp, readme string")
+    bare = df.drop("readme")
+    reads = []
+
+    def load(at, ttl=86400, full=10 * 86400, tail=bare, everything=df, **more):
+        def read_all():
+            reads.append("all")
+            return everything
+
+        return snapshots.load_records(spark, path, "me", at, read_all, lambda cached: tail, ttl, full, **more)
+
+    first, how = load(now)
+    assert how == "full" and first.columns == ["id", "starred_at"] and first.count() == 120
+    assert load(now + day / 2)[1] == "cached"
+    grown = bare.union(spark.createDataFrame([(500, datetime(2024, 2, 1))], bare.schema))
+    records, how = load(now + 2 * day, tail=grown.where("id >= 20"))
+    assert how == "topped up" and records.count() == 121 and reads == ["all"]
+    assert load(now + 4 * day, tail=grown.where("id >= 22"))[1] == "full"  # the pages do not meet
+    assert load(now + 15 * day, tail=grown.where("id >= 20"))[1] == "full"  # too long since all were read
+    assert load(now + 15 * day, refresh=True)[1] == "full"
+    assert snapshots.read_snapshot(spark, path, "you", now) is None
+    assert snapshots.read_snapshot(spark, str(tmp_path / "none"), "me", now) is None
+    (tmp_path / "bad" / "version=1").mkdir(parents=True)
+    (tmp_path / "bad" / "version=1" / "part-0.parquet").write_bytes(b"not a table")
+    assert snapshots.read_snapshot(spark, str(tmp_path / "bad"), "me", now) is None
+
+
+def test_fatal_failures_stop_a_worker(spark):
+    def fetch(name):
+        if name == "b":
+            raise snapshots.Fatal
+        return name * 2
+
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "full_name string")
+    got = [tuple(r) for r in snapshots.fetched_texts(names, fetch, 1).collect()]
+    after = [name for name, *_ in got[[r[0] for r in got].index("b") :]]
+    assert {r for r in got if r[0] in after} == {(n, None, "unread") for n in after}
+    assert {r for r in got if r[0] not in after} == {(n, n * 2, "fetched") for n in "abc" if n not in after}
+
+
+def test_extended_plan_keeps_what_was_decided(spark):
+    from shelfwise.plans.pipeline import Settings, extended
+
+    rng = np.random.default_rng(3)
+    base = np.eye(3)[[0] * 6 + [1] * 6 + [2] * 2 + [0, 1]] + rng.normal(0, 0.1, (16, 3))
+    base[15] = [0.7, 0.7, 0.0]
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    rows = space_of(spark, unit, [0] * 16).drop("cluster")
+    listed = [(i, 0) for i in range(6)] + [(i, 1) for i in range(6, 12)] + [(0, 1), (99, 0)]
+    prev = spark.createDataFrame([(0, "By Hand", "edited", ["t"], "t"), (1, "Two", "d", ["u"], "u")], "cluster int, name string, description string, terms array<string>, lead string")
+    left = spark.createDataFrame([(12,)], "row_id long")
+    plan = extended(rows, spark.createDataFrame(listed, "row_id long, cluster int"), left, prev, Settings(multi_list=2), {"dims": "9"}, "2024-01-01")
+    got = plan.members.collect()
+    sums = {c: unit[[i for i, k in listed if k == c and i < 16]].sum(axis=0) for c in (0, 1)}
+    centre = {c: v / np.linalg.norm(v) for c, v in sums.items()}
+    for r in got:
+        assert abs(r["sim"] - unit[r["row_id"]] @ centre[r["cluster"]]) < 1e-6
+    held = {(r["row_id"], r["cluster"]): r["rank"] for r in got}
+    assert all(held[i, c] == (1 if (i, c) == (0, 1) else 0) for i, c in listed if i < 16)
+    assert (12, 0) not in held and (12, 1) not in held and (14, 0) in held
+    assert {c for i, c in held if i == 15} == {0, 1}  # as near to both, so a second list
+    assert 12 in {r["row_id"] for r in plan.unassigned.collect()}
+    cats = {r["name"]: r["description"] for r in plan.categories.collect()}
+    assert cats == {"By Hand": "edited", "Two": "d"}
+    assert plan.settings["dims"] == "9" and plan.settings["incremental-from"] == "2024-01-01"
 
 
 def test_plan_round_trip(spark, tmp_path):
