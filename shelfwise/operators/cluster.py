@@ -249,7 +249,7 @@ def consensus(space: DataFrame, k: int, runs: int = 3, seed: int = 1) -> tuple[D
     """
     marks = None
     for r in range(runs):
-        placed, _ = kmeans(space, k, seed + r)
+        placed, _ = kmeans(space, k, seed + 7919 * r)
         part = placed.select("row_id", (F.col("cluster") + r * k).alias("dim"))
         marks = part if marks is None else marks.unionByName(part)
     one = float(1 / np.sqrt(runs))

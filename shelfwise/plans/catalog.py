@@ -158,10 +158,10 @@ def cache_left_join(spark, sf_dir) -> DataFrame:
     return snapshots.with_cached_text(docs, cache).select("doc_id", "readme")
 
 
-@query("""with c as (select doc_id, text from documents where n_chars < 2000), f as (select page_id as doc_id, html as text from pages where html <> '')
+@query("""with c as (select doc_id, text from documents), f as (select page_id as doc_id, html as text from pages where html <> '')
 select doc_id, text, 1 as fresh from f union all select doc_id, text, 0 from c where doc_id not in (select doc_id from f)""")
 def harvest_upsert(spark, sf_dir) -> DataFrame:
-    cache = table(spark, sf_dir, "documents").where("n_chars < 2000").select(F.col("doc_id").alias("full_name"), "text", F.lit(0).alias("fresh"))
+    cache = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("full_name"), "text", F.lit(0).alias("fresh"))
     got = table(spark, sf_dir, "pages").select(F.col("page_id").alias("full_name"), F.col("html").alias("text"), F.lit(1).alias("fresh"))
     return snapshots.harvested(cache, got)[0].select(F.col("full_name").alias("doc_id"), "text", "fresh")
 
