@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from shelfwise.operators import cluster as C
-from shelfwise.operators import tokens
+from shelfwise.operators import refine
 
 ODD = ["", "---", "https://only.an/address", None, "ÀbcDef k8sPod HTTPServerPool x²y ½z ⅧaB", "пРивет МирДа v12 c++ 3", "Node.js\tnode.js,C# .NET a a b a"]
 
@@ -34,3 +34,27 @@ def odd_documents(copies=1):
 def test_camel_tokens_of_odd_texts(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "camel_tokens", documents=odd_documents())
     assert got == want and ("", 3) in got
+
+
+def vectors_of(n, seed=1, dims=6, clusters=4):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x[1::7] = x[0::7][: len(x[1::7])]  # equal vectors under several ids
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return "row_id long, cluster int, vec array<double>", [(int(7 * i % 1009), int(rng.integers(clusters)), [float(v) for v in r]) for i, r in enumerate(x)]
+
+
+def kinds_of_plan(df):
+    """What the plan is made of."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [7, 64, 1_536])
+def test_pairs_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "PAIR_ROWS", block)
+    schema, rows = vectors_of(60)
+    df = C.pair_distances(spark.createDataFrame(rows, schema))
+    want = {(a[0], b[0]): max(0, 2 * (1 - np.dot(a[2], b[2]))) for a in rows for b in rows if a[0] < b[0]}
+    got = {(r["i"], r["j"]): r["distance"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert "Join" not in kinds_of_plan(df)
