@@ -58,3 +58,23 @@ def test_pairs_by_blocks(spark, monkeypatch, block):
     got = {(r["i"], r["j"]): r["distance"] for r in df.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
     assert "Join" not in kinds_of_plan(df)
+
+
+def test_silhouette_makes_no_pairs(spark):
+    schema, rows = vectors_of(80)
+    rows += [(rows[0][0], rows[1][1], rows[2][2]), (2_000, None, rows[3][2]), (2_001, 3, None)]  # an id twice, no cluster, no vector
+    got = C.silhouette(spark.createDataFrame(rows, schema))
+    per = {}
+    for i, ci, a in rows:
+        for j, cj, b in rows:
+            if i != j and ci is not None and cj is not None and a and b:
+                per.setdefault(i, {}).setdefault((ci, cj), []).append(1 - np.dot(a, b))
+    scores = []
+    for d in per.values():
+        own = [np.mean(v) for (ci, cj), v in d.items() if ci == cj]
+        other = [np.mean(v) for (ci, cj), v in d.items() if ci != cj]
+        if own and other:
+            scores.append((min(other) - min(own)) / max(min(own), min(other)))
+    r = got.head()
+    assert r["n"] == len(scores) and abs(r["score"] - np.mean(scores)) < 1e-9
+    assert "NOT (i#" not in kinds_of_plan(got)
