@@ -78,3 +78,18 @@ def test_silhouette_makes_no_pairs(spark):
     r = got.head()
     assert r["n"] == len(scores) and abs(r["score"] - np.mean(scores)) < 1e-9
     assert "NOT (i#" not in kinds_of_plan(got)
+
+
+@pytest.mark.parametrize("block", [8, 1 << 15])
+def test_neighbours_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(refine, "BLOCK", block)
+    schema, rows = vectors_of(90, seed=2)
+    df = spark.createDataFrame(rows, schema)
+    near = refine.neighbours(df.where("cluster = 0"), df.where("cluster > 0"), 5)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["row_id"], []).append((r["other"], r["cluster"]))
+    for i, _, a in (r for r in rows if r[1] == 0):
+        best = sorted((-round(float(np.dot(a, b)), 9), j, c) for j, c, b in rows if c > 0)[:5]
+        assert sorted(got[i]) == sorted((j, c) for _, j, c in best)
+    assert "Join" not in kinds_of_plan(near)
