@@ -93,3 +93,10 @@ def test_neighbours_by_blocks(spark, monkeypatch, block):
         best = sorted((-round(float(np.dot(a, b)), 9), j, c) for j, c, b in rows if c > 0)[:5]
         assert sorted(got[i]) == sorted((j, c) for _, j, c in best)
     assert "Join" not in kinds_of_plan(near)
+
+
+def test_best_centres_hold_few_similarities(monkeypatch):
+    x = np.random.default_rng(0).standard_normal((50, 4))
+    monkeypatch.setattr(C, "SIMS", 30)
+    own, sim = C.best(x, x[:9])
+    assert (own == np.argmax(x @ x[:9].T, axis=1)).all() and np.allclose(sim, (x @ x[:9].T).max(axis=1))
