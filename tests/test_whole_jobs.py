@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from shelfwise.functions import lexis
 from shelfwise.operators import cluster as C
-from shelfwise.operators import refine
+from shelfwise.operators import refine, tokens, vectors, weights
 
 ODD = ["", "---", "https://only.an/address", None, "ÀbcDef k8sPod HTTPServerPool x²y ½z ⅧaB", "пРивет МирДа v12 c++ 3", "Node.js\tnode.js,C# .NET a a b a"]
 
@@ -27,7 +28,7 @@ def against_sql(spark, tmp_path, name, places=6, **tables):
 
 
 def odd_documents(copies=1):
-    texts = [t for _ in range(copies) for t in [*ODD, "Common words of MyOwn making", "common MyOwn words and more words"]]
+    texts = [t for _ in range(copies) for t in [*ODD, "Common words of MyOwn making", "common MyOwn words and more words", "API API API of words"]]
     return "doc_id long, text string, lang string", [(i, t, "en" if i % 3 else "de") for i, t in enumerate(texts)]
 
 
@@ -100,3 +101,78 @@ def test_best_centres_hold_few_similarities(monkeypatch):
     monkeypatch.setattr(C, "SIMS", 30)
     own, sim = C.best(x, x[:9])
     assert (own == np.argmax(x @ x[:9].T, axis=1)).all() and np.allclose(sim, (x @ x[:9].T).max(axis=1))
+
+
+COUNTED = ["normalized_terms", "bigrams", "vocab_prune", "vocab_cap", "display_forms", "distinctive_casing", "ctfidf_terms", "label_jaccard", "name_coverage"]
+
+
+@pytest.mark.parametrize("kept", [4, 200_000])
+@pytest.mark.parametrize("name", COUNTED)
+def test_counts_of_odd_texts(spark, tmp_path, monkeypatch, name, kept):
+    monkeypatch.setattr(lexis, "KEPT", kept)  # how often counts go out changes nothing
+    got, want = against_sql(spark, tmp_path, name, documents=odd_documents(2))
+    assert got == want and got
+
+
+def test_counts_go_out_by_distinct_word(spark):
+    """Tasks count while they read: no row for each occurrence is exchanged or sorted."""
+    docs = spark.createDataFrame([(i, "same words again and again " * 200) for i in range(50)], "doc_id long, text string")
+    for of in tokens.ITEMS:
+        df = tokens.tallies(docs, of)
+        assert df.count() < 50 * 8 and "Window" not in kinds_of_plan(df)
+
+
+def test_page_terms_of_odd_texts(spark, tmp_path):
+    pages = [(i, f"<p>{t}</p>") for i, t in enumerate(ODD) if t is not None]
+    got, want = against_sql(spark, tmp_path, "page_terms", pages=("page_id long, html string", pages))
+    assert got == want
+
+
+@pytest.mark.parametrize("chunk", [40, 16_000_000])
+@pytest.mark.parametrize("name", ["tfidf", "bm25", "sparse_cosine"])
+def test_vectors_by_chunks(spark, tmp_path, monkeypatch, name, chunk):
+    monkeypatch.setattr(weights, "CHUNK", chunk)
+    got, want = against_sql(spark, tmp_path, name, documents=odd_documents(3))
+    assert got == want and got
+
+
+def test_vectors_are_not_exchanged_by_term(spark):
+    docs = spark.createDataFrame([(i, f"shared words w{i % 20} x{i % 7}") for i in range(40)], "doc_id long, text string")
+    chunks = weights.chunked(docs)
+    plan = kinds_of_plan(weights.vectors_of(chunks, weights.chunk_vocabulary(chunks, 40)))
+    assert "Join" not in plan and plan.count("Window") == 1
+
+
+def test_repeated_keys_are_one_text(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (1, "beta delta")], "doc_id long, text string")
+    assert {tuple(r) for r in tokens.term_frequencies(docs).collect()} == {("alpha", 1, 1), ("beta", 3, 2), ("gamma", 1, 1), ("delta", 1, 1)}
+    chunks = weights.chunked(docs)
+    sizes = Counter(r["doc_id"] for r in weights.vectors_of(chunks, weights.chunk_vocabulary(chunks, 3, 1, 1.0)).collect())
+    assert sizes == {1: 3, 2: 2}
+
+
+def test_passes_of_the_latent_space_send_few_matrices(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, list(range(i % 5 * 6, i % 5 * 6 + 6)), [float(x) for x in 1 + rng.random(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, dims array<int>, vals array<double>").repartition(40)
+    sent = []
+    whole = type(df).mapInArrow
+
+    def noted(self, func, schema, *a, **b):
+        sent.append(self.rdd.getNumPartitions()) if "sums" in schema else None
+        return whole(self, func, schema, *a, **b)
+
+    type(df).mapInArrow = noted
+    try:
+        got = {r["doc_id"]: np.array(r["vec"]) for r in vectors.latent_space_of(df, 30, 5).collect()}
+    finally:
+        type(df).mapInArrow = whole
+    m = np.zeros((120, 30))
+    for i, at, v in rows:
+        m[i, at] = v
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    want = u[:, :5] * s[:5]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    cos = np.array([got[i] for i in range(120)])
+    assert sent and max(sent) <= spark.sparkContext.defaultParallelism
+    assert np.allclose(cos @ cos.T, want @ want.T, atol=1e-3)
