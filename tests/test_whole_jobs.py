@@ -5,11 +5,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from shelfwise.functions import lexis
+from shelfwise.functions import lexis, udfs
 from shelfwise.operators import cluster as C
-from shelfwise.operators import refine, tokens, vectors, weights
+from shelfwise.operators import naming, refine, tokens, vectors, weights
+from shelfwise.plans.pipeline import written_forms
 
 ODD = ["", "---", "https://only.an/address", None, "ÀbcDef k8sPod HTTPServerPool x²y ½z ⅧaB", "пРивет МирДа v12 c++ 3", "Node.js\tnode.js,C# .NET a a b a"]
 
@@ -176,3 +178,20 @@ def test_passes_of_the_latent_space_send_few_matrices(spark):
     cos = np.array([got[i] for i in range(120)])
     assert sent and max(sent) <= spark.sparkContext.defaultParallelism
     assert np.allclose(cos @ cos.T, want @ want.T, atol=1e-3)
+
+
+def test_written_forms_are_those_of_all_words(spark):
+    texts = ["Parsers parser parsers API", "parsers of APIs and API parsing", "API ParserKit parsed", None, ""]
+    records = spark.createDataFrame(list(enumerate(texts)), "doc_id long, description string")
+    surfaces, cased = written_forms(records)
+    toks = tokens.tokenized(records, "description", ["doc_id"])
+    want = naming.modal(toks.select("term", "surface"), "term", "surface").select("term", "surface")
+    assert set(surfaces.collect()) == set(want.collect())
+    want = naming.distinctive_casing(toks.select(F.lower("raw").alias("word"), F.col("raw").alias("written")))
+    assert set(cased.collect()) == set(want.collect()) and cased.count()
+
+
+def test_stems_are_remembered():
+    udfs.stem_term.cache_clear()
+    assert [udfs.stem_term(w) for w in ("parsers", "parsers", "kubernetes")] == ["parser", "parser", "kubernetes"]
+    assert udfs.stem_term.cache_info().hits == 1
